@@ -144,3 +144,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = state
     out = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     return out.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+#: Rows of an Arrow batch: whole texts travel in them, some of them very long.
+BATCH_ROWS = 400
+
+
+def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow in batches of few rows. `function` takes an iterator of record batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
+def utf8(text: str | None) -> bytes:
+    return b"" if text is None else text.encode("utf-8", "surrogatepass")
