@@ -47,9 +47,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     for name, x in weights.items():
         w = F.when(F.col("__source") == name, F.lit(float(x))).otherwise(w)
     n = n.withColumn("__w", w)
-    total = n.agg(F.sum("__n").cast("double").alias("__rows"), F.sum("__w").alias("__sum"))
-    n = n.join(F.broadcast(total))  # one row
-    n = n.withColumn("__rate", F.lit(float(size)) * F.col("__rows") * F.col("__w") / F.col("__sum") / F.col("__n").cast("double"))
+    total, weight = n.agg(F.sum("__n").cast("double"), F.sum("__w")).first()
+    n = n.withColumn("__rate", F.lit(float(size)) * F.lit(total) * F.col("__w") / F.lit(weight) / F.col("__n").cast("double"))
     n = n.withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART)).cast("int"))
     return n.select("__source", "__n", "__rate", "__parts", _cdf(F.col("__rate") / F.col("__parts")).alias("__cdf"))
 
