@@ -1,31 +1,60 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each works on all rows that its predecessor kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import exact_dedup, langid, minhash, mixing, sentencepiece_nbest
 from .common import cut, table
-from .exact_dedup import dedup
-from .mixing import mix
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Documents are rejected up to this cosine with every language. A few words of any language lie above it.
+LEAST_SCORE = 0.0
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language. Rows of null id have no prediction to join and stay; so does all if nothing is
+    labelled, as nothing can be told from anything then."""
+    known = langid.profiles(docs)
+    if not known[0]:
+        return docs
+    found = langid.identify(docs, known)
+    gone = found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") <= LEAST_SCORE)).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup(docs)
+    return exact_dedup.dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.dedup(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs)
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.digests(sentencepiece_nbest.encode(docs))
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("mix_sources", mixing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("minhash_dedup", near),
+    ("mix_sources", mix),
+    ("sentencepiece_encode", encode),
+]
+#: Language prediction and the piece lattice are beyond SQL; the stages are tested one by one instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; each result is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
