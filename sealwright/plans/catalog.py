@@ -2,9 +2,539 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import money as M
+from ..functions import profile as P
+from ..functions.constraints import check, failures
+from ..model import Budget, Constraint, Contract, CurrencyPolicy, Field, FieldPlan, FieldType, Merge, Plan, Policy, Resolution, Step
+from ..operators import inference, reconcile, reconcile_long, regex, text
+from ..operators.lookup import lookup_join
+from ..operators.registry import full_registry
+from ..streaming import normalize as streaming
+from . import artifact, planner
+from .engine import normalize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Patterns that mean the same in Java, Python and RE2.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]"
+IP = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
+PHONE = r"\+[0-9] \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+TOKEN = r'token = "(?P<secret>[0-9a-f]+)"'
+#: ISO codes by nation key modulo 5 (an example's table).
+CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CHF")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Profiles
+
+_WS = r"[\x09\x0A\x0B\x0C\x0D\x20]"
+_WIDE = r"[\x09-\x0D\x20\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _profile_sql(key: str, column: str, source: str) -> str:
+    t = f"coalesce({column}, '')"
+    return rf"""
+WITH t AS (SELECT {key}, {t} AS x, octet_length(encode({t})) AS n FROM {source}),
+u AS (SELECT *, regexp_replace(left(x, 8192), '^{_WS}+', '') AS j, regexp_replace(split_part(x, chr(10), 1), '^{_WS}+', '') AS line FROM t)
+SELECT {key}, CASE WHEN n = 0 THEN 'empty' WHEN starts_with(x, '%PDF-') THEN 'pdf_text'
+    WHEN regexp_matches(j, '^[\{{\[]') AND json_valid(j) THEN 'json'
+    WHEN regexp_matches(left(x, 4096), '(?m)^From ') AND regexp_matches(left(x, 4096), '(?m)^Subject:') THEN 'email'
+    WHEN regexp_matches(left(x, 4096), '(?i)<\s*html|<!doctype\s+html') THEN 'html'
+    WHEN length(line) - length(replace(line, ',', '')) >= 3 THEN 'csv' ELSE 'text' END AS input_type,
+  n::BIGINT AS size, sha256(x) AS content_hash,
+  CASE WHEN n = 0 THEN 0e0 WHEN length(x) = n THEN length(regexp_replace(x, '{_WS}', '', 'g'))::DOUBLE / n::DOUBLE
+    ELSE length(regexp_replace(x, '{_WIDE}', '', 'g'))::DOUBLE / n::DOUBLE END AS density,
+  regexp_full_match(x, '{_WS}*') AS is_empty
+FROM u
+"""
+
+
+def _profiled(df: DataFrame, key: str, column: str) -> DataFrame:
+    return df.select(key, P.profile(F.coalesce(P.raw_bytes(df, column), F.lit(b""))).alias("p")).select(key, "p.*")
+
+
+@query(_profile_sql("doc_id", "text", "documents"))
+def profile_documents(spark, sf_dir):
+    return _profiled(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(_profile_sql("page_id", "html", "pages"))
+def profile_pages(spark, sf_dir):
+    return _profiled(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query(_profile_sql("event_id", "props", "events"))
+def profile_events_props(spark, sf_dir):
+    return _profiled(table(spark, sf_dir, "events"), "event_id", "props")
+
+
+_ALL_RAW = """(SELECT 'documents' AS origin, text AS raw FROM documents UNION ALL SELECT 'pages', html FROM pages
+  UNION ALL SELECT 'events', props FROM events UNION ALL SELECT 'conversations', text FROM conversations)"""
+
+
+@query(f"SELECT origin, input_type, count(*) AS n, sum(size)::BIGINT AS total_size FROM ({_profile_sql('origin', 'raw', _ALL_RAW)}) GROUP BY 1, 2")
+def profile_type_counts(spark, sf_dir):
+    parts = [("documents", "text"), ("pages", "html"), ("events", "props"), ("conversations", "text")]
+    raw = None
+    for name, column in parts:
+        one = table(spark, sf_dir, name).select(F.lit(name).alias("origin"), F.coalesce(F.col(column), F.lit("")).alias("raw"))
+        raw = one if raw is None else raw.unionByName(one)
+    bytes_ = F.encode("raw", "UTF-8")
+    return raw.select("origin", P.input_type(bytes_).alias("input_type"), F.octet_length(bytes_).alias("size")).groupBy("origin", "input_type").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("bigint").alias("total_size"))
+
+
+# Constraints
+
+
+def _constraint(name: str, source: str, key: str, column: str, c: Constraint, sql: str) -> None:
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, source).select(key, check(c, F.col(column)).alias("passes"))
+
+    run.__name__ = f"constraint_{name}"
+    query(f"SELECT {key}, coalesce({sql}, false) AS passes FROM {source}")(run)
+
+
+_constraint("min_length", "documents", "doc_id", "text", Constraint.of("min_length", min=1000), "length(text) >= 1000")
+_constraint("max_length", "documents", "doc_id", "text", Constraint.of("max_length", max=1000), "length(text) <= 1000")
+_constraint("pattern", "part", "p_partkey", "p_brand", Constraint.of("pattern", pattern="[1-3][0-9]*$"), "regexp_matches(p_brand, '[1-3][0-9]*$')")
+_constraint("min_value", "customer", "c_custkey", "c_acctbal", Constraint.of("min_value", min=0), "c_acctbal >= 0")
+_constraint("max_value", "orders", "o_orderkey", "o_totalprice", Constraint.of("max_value", max=150000), "o_totalprice <= 150000")
+_constraint("enum", "orders", "o_orderkey", "o_orderstatus", Constraint.of("enum", values=("O", "F")), "o_orderstatus IN ('O', 'F')")
+_constraint("iso4217", "customer", "c_custkey", "c_mktsegment", Constraint.of("iso_4217"), "regexp_full_match(c_mktsegment, '[A-Z]{3}')")
+
+_ORDER_RULES = (Constraint.of("min_value", min=1000), Constraint.of("max_value", max=200000))
+
+
+@query("""
+SELECT o_orderkey, kind FROM (SELECT o_orderkey, 'min_value' AS kind, o_totalprice < 1000 AS bad FROM orders
+  UNION ALL SELECT o_orderkey, 'max_value', o_totalprice > 200000 FROM orders) WHERE bad""")
+def constraint_failures_long(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(failures(_ORDER_RULES, F.col("o_totalprice"), False)).alias("kind"))
+
+
+# Capabilities
+
+
+def _extract(name: str, pattern: str) -> None:
+    def run(spark, sf_dir):
+        found = regex.values(F.col("text"), pattern)
+        return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("pos", "value"))
+
+    run.__name__ = f"regex_extract_{name}"
+    query(f"""
+SELECT doc_id, (i - 1)::INT AS pos, v[i] AS value FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS v FROM documents), unnest(generate_series(1, len(v))) AS g(i)""")(run)
+
+
+_extract("emails", EMAIL)
+_extract("ips", IP)
+_extract("phones", PHONE)
+
+
+@query(rf"""
+SELECT doc_id, (i - 1)::INT AS pos, v[i] AS secret FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN.replace("?P<secret>", "")}', 1) AS v FROM documents), unnest(generate_series(1, len(v))) AS g(i)""")
+def regex_named_group(spark, sf_dir):
+    found = regex.find_all(TOKEN)(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(found, lambda m: m["value"])).alias("pos", "secret"))
+
+
+@query(rf"""
+WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{PHONE}') AS v FROM documents)
+SELECT doc_id, value, start_at, start_at + length(value) AS end_at FROM (
+  SELECT doc_id, v[i] AS value, (length(array_to_string(p[1:i], '')) + coalesce(length(array_to_string(v[1:i - 1], '')), 0))::BIGINT AS start_at
+  FROM (SELECT *, regexp_split_to_array(text, '{PHONE}') AS p FROM m), unnest(generate_series(1, len(v))) AS g(i))""")
+def regex_spans(spark, sf_dir):
+    found = regex.find_all(PHONE)(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.value", F.col("m.start").alias("start_at"), F.col("m.end").alias("end_at"))
+
+
+@query("SELECT n_nationkey, n_name, r_name AS value FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def lookup_country(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").withColumn("k", F.col("n_regionkey").cast("string"))
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("k2"), "r_name", "r_regionkey")
+    return lookup_join(nation, "k", region, "k2", "r_name", "r_regionkey").select("n_nationkey", "n_name", "value")
+
+
+_SEGMENTS = (("Building", "construction"), ("BUILDING", "exact"), ("automobile", "cars"), ("Machinery", "machines"), ("MACHINERY ", "never"), ("machinery", "later"))
+
+
+@query(f"""
+WITH e(o, k, v) AS (VALUES {', '.join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(_SEGMENTS))}),
+f AS (SELECT lower(k) AS l, arg_min(v, o) AS v FROM e GROUP BY 1)
+SELECT c_custkey, coalesce(e.v, f.v) AS value FROM customer LEFT JOIN e ON c_mktsegment = e.k LEFT JOIN f ON lower(c_mktsegment) = f.l""")
+def lookup_ci(spark, sf_dir):
+    entries = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(_SEGMENTS)], "o int, k string, v string")
+    return lookup_join(table(spark, sf_dir, "customer"), "c_mktsegment", entries, "k", "v", "o").select("c_custkey", "value")
+
+
+@query(r"""
+SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(replace(html, '"</p>"', chr(1)), '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g'),
+  '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&'), chr(1), '"</p>"') AS text FROM pages""")
+def text_extract_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.html_text("html").alias("text"))
+
+
+@query("SELECT conv_id, turn, '<stub: ' || substr(text, 1, 64) || '>' AS completion FROM conversations")
+def inference_stub(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", inference.stub_completion(F.col("text")).alias("completion"))
+
+
+_ATTACKS = tuple((-1 - i, f"Note. {p.upper()} and go on") for i, p in enumerate(reconcile.INJECTION))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in _ATTACKS)}))
+SELECT doc_id, {' OR '.join(f"contains(lower(text), '{p}')" for p in reconcile.INJECTION)} AS injected FROM d""")
+def injection_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(list(_ATTACKS), "doc_id long, text string"))
+    return rows.select("doc_id", reconcile.injected(F.col("text")).alias("injected"))
+
+
+# Plans
+
+_SPECS = """(VALUES ('text_extraction', 1, 5, 0e0, 'STRING'), ('regex_extraction', 1, 1, 0e0, 'STRING,HTML_TEXT'), ('lookup', 2, 1, 0e0, 'STRING'),
+  ('validation', 1, 1, 0e0, 'STRING,INTEGER,DECIMAL,BOOLEAN,DATE,ENUM,OBJECT,ARRAY,MONEY'), ('inference', 5, 1500, 0.001e0, 'STRING,HTML_TEXT,MIXED')) AS s(id, tier, ms, usd, types)"""
+
+
+@query(f"SELECT id, tier::INT AS tier, tier * 10000 + usd * 1e6 + ms AS score FROM {_SPECS}")
+def plan_scores(spark, sf_dir):
+    return spark.createDataFrame([(r["id"], r["tier"], float(r["score"])) for r in full_registry().rows()], "id string, tier int, score double")
+
+
+@query(f"""
+WITH t(type) AS (VALUES ('STRING'), ('INTEGER'), ('DECIMAL'), ('BOOLEAN'), ('DATE'), ('ENUM'), ('OBJECT'), ('ARRAY'), ('MONEY')),
+c AS (SELECT type, 0 AS tier, 0e0 AS score, id FROM t, {_SPECS} WHERE type = 'STRING' AND id = 'text_extraction'
+  UNION ALL SELECT type, tier, tier * 10000 + usd * 1e6 + ms, id FROM t, {_SPECS} WHERE list_contains(string_split(types, ','), type))
+SELECT type, (row_number() OVER (PARTITION BY type ORDER BY tier, score, id))::INT AS step, id FROM c""")
+def plan_chains(spark, sf_dir):
+    """The chains of one field of each type over dense text, with all five capabilities."""
+    rows = []
+    for t in FieldType:
+        f = Field("f", "f", "f", t, enum_values=("a",) if t is FieldType.ENUM else None)
+        rows += [(t.name, k + 1, s.capability_id) for k, s in enumerate(planner.chain(f, full_registry(), True, True, True))]
+    return spark.createDataFrame(rows, "type string, step int, id string")
+
+
+_STEPS = (("text_extraction", 5, 0.0), ("regex_extraction", 1, 0.0), ("lookup", 1, 0.0), ("inference", 1500, 0.001))
+
+
+@query(f"""
+WITH s(ord, id, ms, usd) AS (VALUES {', '.join(f"({i}, '{n}', {m}, {u}e0)" for i, (n, m, u) in enumerate(_STEPS))}),
+r AS (SELECT doc_id, ord, id, sum(ms * (1 + length(text) // 2000)) OVER (PARTITION BY doc_id ORDER BY ord) AS spent FROM documents, s)
+SELECT doc_id, ord::INT AS ord, id, spent::BIGINT AS spent_ms, spent <= 1510 AS affordable FROM r""")
+def budget_prefix_sum(spark, sf_dir):
+    """Running latency of each document's steps, dearer for longer texts, against one cap."""
+    steps = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("id"), F.lit(m).alias("ms")) for i, (n, m, _) in enumerate(_STEPS)])
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.length("text") / 2000).alias("extra"), F.explode(steps).alias("s"))
+    spent = F.sum(F.col("s.ms") * (1 + F.col("extra"))).over(Window.partitionBy("doc_id").orderBy("s.ord"))
+    return rows.select("doc_id", F.col("s.ord").alias("ord"), F.col("s.id").alias("id"), spent.cast("bigint").alias("spent_ms"), (spent <= 1510).alias("affordable"))
+
+
+@query(f"""
+WITH m AS (SELECT doc_id, 'email' AS field, unnest(regexp_extract_all(text, '{EMAIL}')) AS value, generate_subscripts(regexp_extract_all(text, '{EMAIL}'), 1) AS i FROM documents
+  UNION ALL SELECT doc_id, 'ip', unnest(regexp_extract_all(text, '{IP}')), generate_subscripts(regexp_extract_all(text, '{IP}'), 1) FROM documents)
+SELECT doc_id, field, (i - 1)::INT AS pos, value FROM m""")
+def candidates_long(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.struct(F.lit("email").alias("field"), regex.values(F.col("text"), EMAIL).alias("v")), F.struct(F.lit("ip").alias("field"), regex.values(F.col("text"), IP).alias("v")))).alias("f"))
+    return rows.select("doc_id", "f.field", F.posexplode("f.v").alias("pos", "value"))
+
+
+# Reconciliation of candidate tables: events as candidates of their user
+
+
+def _event_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.pmod("event_id", F.lit(3))
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("field"), F.col("event_id").alias("pos"), F.when(F.pmod("event_id", F.lit(7)) != 0, F.col("event_type")).alias("value"),
+        F.when(source == 0, "text_extraction").when(source == 1, "lookup").otherwise("inference").alias("capability_id"),
+        F.when(source == 0, 1).when(source == 1, 2).otherwise(5).alias("tier"), (source != 2).alias("deterministic"), (source == 0).alias("has_span"),
+    )
+
+
+_EVENTS = """c AS (SELECT user_id AS field, event_id AS pos, CASE WHEN event_id % 7 <> 0 THEN event_type END AS value,
+  CASE event_id % 3 WHEN 0 THEN 'text_extraction' WHEN 1 THEN 'lookup' ELSE 'inference' END AS cap,
+  CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END AS tier, event_id % 3 <> 2 AS det, event_id % 3 = 0 AS span FROM events),
+best AS (SELECT field, value FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY NOT span, NOT det, tier, cap, pos) AS r FROM c) WHERE r = 1),
+votes AS (SELECT field, value, count(*) AS n, min(pos) AS first FROM c WHERE value IS NOT NULL GROUP BY 1, 2),
+top AS (SELECT field, value, n FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, first) AS r FROM votes) WHERE r = 1),
+nv AS (SELECT field, count(DISTINCT value) AS n_values FROM c GROUP BY 1)"""
+_SCORE = """greatest(0e0, least(1e0, 0.5e0 + 0.1e0 * least(n_candidates, 3)::DOUBLE + 0.05e0 * least(n_evidence, 5)::DOUBLE + 0.1e0
+  - CASE WHEN conflict THEN 0.15e0 ELSE 0e0 END + 0.05e0 * least(n_capabilities, 3)::DOUBLE))"""
+_BAND = "CASE WHEN confidence >= 0.95e0 THEN 'CERTAIN' WHEN confidence >= 0.8e0 THEN 'HIGH' WHEN confidence >= 0.6e0 THEN 'MEDIUM' WHEN confidence >= 0.3e0 THEN 'LOW' ELSE 'UNTRUSTED' END"
+_SCORED = f"""n AS (SELECT field, count(value) AS n_candidates, count(*) AS n_evidence, count(DISTINCT cap) AS n_capabilities, count(DISTINCT value) >= 2 AS conflict FROM c GROUP BY 1),
+s AS (SELECT *, {_SCORE} AS confidence FROM n)"""
+
+
+@query("SELECT l_orderkey, l_returnflag AS value, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2")
+def distinct_values(spark, sf_dir):
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("value"))
+    return reconcile_long.distinct_values(c, "l_orderkey").select("l_orderkey", "value", "pos")
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_returnflag) AS n_values, count(DISTINCT l_returnflag) >= 2 AS conflict FROM lineitem GROUP BY 1")
+def conflict_detect(spark, sf_dir):
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("value"))
+    return reconcile_long.conflicts(c, "l_orderkey")
+
+
+@query(f"WITH {_EVENTS} SELECT field, value, 'PREFER_BY_EVIDENCE' AS strategy FROM best")
+def prefer_by_evidence(spark, sf_dir):
+    return reconcile_long.merge(_event_candidates(spark, sf_dir), "field")
+
+
+@query(f"""WITH {_EVENTS} SELECT best.field, CASE WHEN n >= 2 THEN top.value ELSE best.value END AS value, CASE WHEN n >= 2 THEN 'INTERSECTION' ELSE 'PREFER_BY_EVIDENCE' END AS strategy
+FROM best LEFT JOIN top USING (field)""")
+def merge_intersection(spark, sf_dir):
+    return reconcile_long.merge(_event_candidates(spark, sf_dir), "field", Merge.INTERSECTION)
+
+
+@query(f"""WITH {_EVENTS} SELECT best.field, CASE WHEN n_values <= 1 THEN top.value ELSE best.value END AS value, CASE WHEN n_values <= 1 THEN 'UNION' ELSE 'PREFER_BY_EVIDENCE' END AS strategy
+FROM best JOIN nv USING (field) LEFT JOIN top USING (field)""")
+def merge_union(spark, sf_dir):
+    return reconcile_long.merge(_event_candidates(spark, sf_dir), "field", Merge.UNION)
+
+
+@query(f"WITH {_EVENTS}, {_SCORED} SELECT field, n_candidates, n_evidence, n_capabilities, conflict, confidence, {_BAND} AS band FROM s")
+def confidence_score(spark, sf_dir):
+    return reconcile_long.confidence(_event_candidates(spark, sf_dir), "field")
+
+
+@query(f"""WITH {_EVENTS}, {_SCORED} SELECT {_BAND} AS band, count(*) AS n FROM s GROUP BY 1""")
+def confidence_band(spark, sf_dir):
+    return reconcile_long.confidence(_event_candidates(spark, sf_dir), "field").groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_EVENTS}, {_SCORED}, r AS (SELECT s.field, confidence, best.value, confidence >= 0.99e0 AND best.value IS NOT NULL AS ok FROM s JOIN best USING (field))
+SELECT field, 'RESOLVED' AS status, CASE WHEN ok THEN value ELSE 'other' END AS value, CASE WHEN ok THEN confidence ELSE 0.6e0 END AS confidence,
+  CASE WHEN ok THEN {_BAND} ELSE 'MEDIUM' END AS band, CASE WHEN ok THEN 'PREFER_BY_EVIDENCE' ELSE 'USE_DEFAULT' END AS strategy FROM r""")
+def fallback_apply(spark, sf_dir):
+    return reconcile_long.resolve(_event_candidates(spark, sf_dir), "field", 0.99, "other")
+
+
+# Money
+
+
+def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.array(*[F.lit(c) for c in CURRENCIES])[F.pmod("c_nationkey", F.lit(5))]
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", code.alias("currency"))
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "currency", F.col("o_totalprice").cast("decimal(20,6)").alias("amount"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+
+
+_MONEY = f"""a AS (SELECT o_orderkey, o_custkey, (ARRAY{list(CURRENCIES)})[c_nationkey % 5 + 1] AS currency, o_totalprice::DECIMAL(20,6) AS amount, strftime(o_orderdate, '%Y-%m') AS month
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+@query(f"WITH {_MONEY} SELECT o_custkey, CASE WHEN count(DISTINCT currency) = 1 THEN min(currency) END AS currency, CASE WHEN count(DISTINCT currency) = 1 THEN round_even(sum(amount), 2)::DECIMAL(26,2) END AS total FROM a GROUP BY 1")
+def money_sum_strict(spark, sf_dir):
+    return reconcile_long.sum_money(_amounts(spark, sf_dir), "o_custkey", "amount", "currency", "o_orderkey")
+
+
+@query(f"""WITH {_MONEY}, m AS (SELECT o_custkey % 50 AS bucket, CASE WHEN o_custkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS cur, amount, o_orderkey FROM a WHERE o_custkey % 50 < 40 OR o_custkey % 2 = 0),
+b AS (SELECT bucket // 2 AS bucket, cur, sum(amount) AS part, min(o_orderkey) AS first FROM m GROUP BY 1, 2),
+g AS (SELECT bucket, count(*) AS n, arg_min(cur, first) AS base, arg_min(part, first) AS own, sum(part) AS both_ FROM b GROUP BY 1)
+SELECT bucket::BIGINT AS bucket, base AS currency, round_even(CASE n WHEN 1 THEN own ELSE own + (both_ - own)::DECIMAL(25,6) * 1.25::DECIMAL(12,8) END, 2)::DECIMAL(26,2) AS total FROM g""")
+def money_sum_fx(spark, sf_dir):
+    rows = _amounts(spark, sf_dir).where("o_custkey % 50 < 40 OR o_custkey % 2 = 0")
+    rows = rows.select(F.expr("(o_custkey % 50) div 2").cast("bigint").alias("bucket"), F.when(F.col("o_custkey") % 2 == 0, "USD").otherwise("EUR").alias("cur"), "amount", "o_orderkey")
+    return reconcile_long.sum_money(rows, "bucket", "amount", "cur", "o_orderkey", CurrencyPolicy.ALLOW_FX, Decimal("1.25"))
+
+
+_RATE = Decimal("1.08370000")
+
+
+def _money(name: str, column: Callable[[Column, Column], Column], sql: str) -> None:
+    def run(spark, sf_dir):
+        return _amounts(spark, sf_dir).select("o_orderkey", column(F.col("amount"), F.col("currency")).alias("result"))
+
+    run.__name__ = f"money_{name}"
+    query(f"WITH {_MONEY} SELECT o_orderkey, {sql} AS result FROM a")(run)
+
+
+def _ten() -> tuple[Column, Column]:
+    return F.lit(Decimal("10.005")).cast("decimal(20,6)"), F.lit("USD")
+
+
+_money("add", lambda a, c: M.add(a, c, *_ten()), "CASE WHEN currency = 'USD' THEN round_even(amount + 10.005::DECIMAL(20,6), 2)::DECIMAL(20,6) END")
+_money("subtract", lambda a, c: M.subtract(a, c, *_ten(), CurrencyPolicy.ALLOW_FX, _RATE), f"round_even(amount - CASE WHEN currency = 'USD' THEN 10.005::DECIMAL(28,14) ELSE 10.005::DECIMAL(20,6) * {_RATE}::DECIMAL(12,8) END, 2)::DECIMAL(20,6)")
+_money("multiply", lambda a, c: M.multiply(a, Decimal("0.125")), "round_even(amount * 0.125::DECIMAL(12,8), 2)::DECIMAL(20,6)")
+_money("convert", lambda a, c: M.convert(a, c, "EUR", _RATE), f"CASE WHEN currency = 'EUR' THEN amount ELSE round_even(amount * {_RATE}::DECIMAL(12,8), 2)::DECIMAL(20,6) END")
+_money("compare", lambda a, c: M.compare(a, c, F.lit(Decimal(100000)), F.lit("USD"), CurrencyPolicy.ALLOW_FX, _RATE), f"sign(amount - CASE WHEN currency = 'USD' THEN 100000::DECIMAL(28,14) ELSE 100000::DECIMAL(20,6) * {_RATE}::DECIMAL(12,8) END)::INT")
+
+# The whole engine over documents
+
+#: A contract with hand-configured steps: contacts in documents.
+CONTACTS = Contract(
+    "contacts-v1",
+    (
+        Field("field_contacts_email", "email", "email", FieldType.STRING, constraints=(Constraint.of("max_length", max=27),)),
+        Field("field_contacts_ip", "ip", "ip", FieldType.STRING, required=False),
+        Field("field_contacts_phone", "phone", "phone", FieldType.STRING, required=False, fallback=Resolution.USE_DEFAULT, default="none"),
+    ),
+)
+CONTACTS_PLAN = Plan("contacts-v1", tuple(FieldPlan(f"field_contacts_{n}", (Step("regex_extraction", "1.0", {"pattern": p}),)) for n, p in (("email", EMAIL), ("ip", IP), ("phone", PHONE))))
+
+
+def _contacts(df: DataFrame, raw: str = "text", **more) -> DataFrame:
+    return normalize(df, CONTACTS, raw=raw, registry=full_registry(), plan=CONTACTS_PLAN, policy=Policy(unresolved_acceptable=False), **more)
+
+
+def _flat(done: DataFrame) -> DataFrame:
+    r = lambda i: F.col("results")[i]
+    return done.select("doc_id", "status", *[x for i, n in enumerate(("email", "ip", "phone")) for x in (r(i)["value"].alias(n), r(i)["confidence"].alias(f"{n}_confidence"))], F.col("statistics.resolved").cast("bigint").alias("n_resolved"))
+
+
+def _field_sql(name: str, pattern: str, valid: str) -> str:
+    n = f"len(v_{name})"
+    c = f"greatest(0e0, least(1e0, 0.5e0 + 0.1e0 * least({n}, 3)::DOUBLE + 0.05e0 * least({n}, 5)::DOUBLE + CASE WHEN {valid} THEN 0.1e0 ELSE 0e0 END - CASE WHEN len(list_distinct(v_{name})) >= 2 THEN 0.15e0 ELSE 0e0 END + 0.05e0))"
+    return f"CASE WHEN {n} > 0 AND {c} >= 0.8e0 THEN v_{name}[1] END AS {name}_found, {c} AS {name}_score"
+
+
+_FLAT = f"""m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{EMAIL}') AS v_email, regexp_extract_all(coalesce(text, ''), '{IP}') AS v_ip, regexp_extract_all(coalesce(text, ''), '{PHONE}') AS v_phone FROM documents),
+f AS (SELECT doc_id, {_field_sql('email', EMAIL, 'length(v_email[1]) <= 27')}, {_field_sql('ip', IP, 'true')}, {_field_sql('phone', PHONE, 'true')} FROM m),
+flat AS (SELECT doc_id, CASE WHEN email_found IS NULL THEN 'UNRESOLVED' WHEN ip_found IS NULL THEN 'PARTIAL_SUCCESS' ELSE 'SUCCESS' END AS status,
+  email_found AS email, CASE WHEN email_found IS NULL THEN 0e0 ELSE email_score END AS email_confidence, ip_found AS ip, CASE WHEN ip_found IS NULL THEN 0e0 ELSE ip_score END AS ip_confidence,
+  coalesce(phone_found, 'none') AS phone, CASE WHEN phone_found IS NULL THEN 0.6e0 ELSE phone_score END AS phone_confidence,
+  ((email_found IS NOT NULL)::INT + (ip_found IS NOT NULL)::INT + 1)::BIGINT AS n_resolved FROM f)"""
+
+
+@query(f"WITH {_FLAT} SELECT * FROM flat")
+def normalize_documents(spark, sf_dir):
+    """The flagship: three fields of each document extracted, reconciled and scored, as flat columns."""
+    return _flat(_contacts(table(spark, sf_dir, "documents")))
+
+
+@query(f"WITH {_FLAT} SELECT status, count(*) AS n FROM flat GROUP BY 1")
+def overall_status(spark, sf_dir):
+    return _contacts(table(spark, sf_dir, "documents")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_FLAT} SELECT lang, status, grouping(lang) + grouping(status) AS level, count(*) AS n, sum(n_resolved)::BIGINT AS resolved FROM flat JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, status)""")
+def status_rollup(spark, sf_dir):
+    done = _contacts(table(spark, sf_dir, "documents"))
+    return done.rollup("lang", "status").agg((F.grouping("lang") + F.grouping("status")).cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"), F.sum("statistics.resolved").cast("bigint").alias("resolved"))
+
+
+@query(f"""WITH {_FLAT} SELECT field_path, capability_id, count(*) AS n FROM (
+  SELECT 'email' AS field_path FROM flat WHERE email IS NOT NULL UNION ALL SELECT 'ip' FROM flat WHERE ip IS NOT NULL UNION ALL SELECT 'phone' FROM flat WHERE phone <> 'none'),
+  (VALUES ('regex_extraction')) AS c(capability_id) GROUP BY 1, 2""")
+def evidence_by_field(spark, sf_dir):
+    rows = _contacts(table(spark, sf_dir, "documents")).select(F.explode("results").alias("r")).select("r.field_path", F.explode("r.evidence").alias("e"))
+    return rows.groupBy("field_path", F.col("e.capability_id").alias("capability_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_FLAT}, x AS (SELECT 'CAPABILITY_OK' AS code, 'INFO' AS severity FROM flat WHERE email IS NULL UNION ALL SELECT 'CAPABILITY_OK', 'INFO' FROM flat WHERE ip IS NULL
+  UNION ALL SELECT 'CAPABILITY_OK', 'INFO' FROM flat WHERE phone = 'none'
+  UNION ALL SELECT 'VALIDATION_FAILED', 'WARNING' FROM m WHERE len(v_email) > 0 AND length(v_email[1]) > 27
+  UNION ALL SELECT 'CAPABILITY_OK', 'INFO' FROM m JOIN flat USING (doc_id) WHERE email IS NULL AND len(list_distinct(v_email)) >= 2
+  UNION ALL SELECT 'CAPABILITY_OK', 'INFO' FROM m JOIN flat USING (doc_id) WHERE ip IS NULL AND len(list_distinct(v_ip)) >= 2
+  UNION ALL SELECT 'CAPABILITY_OK', 'INFO' FROM m JOIN flat USING (doc_id) WHERE phone = 'none' AND len(list_distinct(v_phone)) >= 2)
+SELECT code, severity, count(*) AS n FROM x GROUP BY 1, 2""")
+def diagnostics_by_severity(spark, sf_dir):
+    rows = _contacts(table(spark, sf_dir, "documents")).select(F.explode(F.flatten(F.transform("results", lambda r: r["diagnostics"]))).alias("d"))
+    return rows.groupBy("d.code", "d.severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH c AS (SELECT 'email' AS field, unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents UNION ALL SELECT 'ip', unnest(regexp_extract_all(text, '{IP}')) FROM documents)
+SELECT field, count(*) AS calls, count(DISTINCT value) AS n_distinct, sum(length(value))::BIGINT AS total_length FROM c GROUP BY 1""")
+def capability_stats(spark, sf_dir):
+    return candidates_long(spark, sf_dir).groupBy("field").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("value").alias("n_distinct"), F.sum(F.length("value")).cast("bigint").alias("total_length"))
+
+
+_TYPED = """t AS (SELECT doc_id, text, CASE WHEN text = '' THEN 'empty' WHEN length(line) - length(replace(line, ',', '')) >= 3 THEN 'csv' ELSE 'text' END AS input_type
+  FROM (SELECT doc_id, text, ltrim(split_part(text, chr(10), 1), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)))"""
+
+
+@query(f"WITH {_TYPED} SELECT input_type, 'UNRESOLVED' AS status, 2 AS n_unresolved, count(*) AS n FROM t GROUP BY 1")
+def normalize_default_registry(spark, sf_dir):
+    """Planned chains with the default registry, whose lookup has no table: nothing resolves."""
+    contract = Contract("memo-v1", (Field("field_memo_amount", "amount", "amount", FieldType.MONEY), Field("field_memo_notes", "notes", "notes", FieldType.STRING)))
+    done = normalize(table(spark, sf_dir, "documents"), contract, policy=Policy(unresolved_acceptable=False))
+    return done.groupBy("profile.input_type", "status", F.size("unresolved").alias("n_unresolved")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _full_contract() -> Contract:
+    return Contract("whole-v1", (Field("field_whole_text", "body", "body", FieldType.STRING),))
+
+
+@query(f"""WITH {_TYPED} SELECT doc_id, CASE WHEN input_type = 'text' THEN 'SUCCESS' ELSE 'PARTIAL_SUCCESS' END AS status,
+  CASE WHEN input_type = 'text' THEN sha256(text) END AS value_sha256, CASE WHEN input_type = 'text' THEN 1e0 ELSE 0e0 END AS confidence FROM t""")
+def normalize_all_capabilities(spark, sf_dir):
+    """All five capabilities planned by cost. Of plain text, the whole text wins by its span; the extractor refuses
+    other types, whose best candidate is then validation's null."""
+    done = normalize(table(spark, sf_dir, "documents"), _full_contract(), registry=full_registry())
+    return done.select("doc_id", "status", F.sha2(F.col("results")[0]["value"], 256).alias("value_sha256"), F.col("results")[0]["confidence"].alias("confidence"))
+
+
+@query(f"WITH {_TYPED} SELECT doc_id, CASE WHEN input_type = 'text' THEN 2 ELSE 0 END AS n_evidence, 1 AS n_budget FROM t")
+def normalize_budget(spark, sf_dir):
+    """A latency cap that inference trips over: earlier steps stay, and each row tells of the cut."""
+    done = normalize(table(spark, sf_dir, "documents"), _full_contract(), registry=full_registry(), budget=Budget(max_total_latency_ms=20), strategy=Merge.UNION)
+    return done.select("doc_id", F.size(F.col("results")[0]["evidence"]).alias("n_evidence"), F.size(F.filter("plan_diagnostics", lambda d: d["code"] == "BUDGET_EXCLUDES")).alias("n_budget"))
+
+
+# Artifacts
+
+
+@query(None)
+def replay_hash(spark, sf_dir):
+    return _contacts(table(spark, sf_dir, "documents")).select("doc_id", "replay_hash")
+
+
+@query("SELECT doc_id % 10 <> 0 AS hash_ok, count(*) AS n, CASE WHEN doc_id % 10 = 0 THEN 'HASH_MISMATCH' END AS reason FROM documents GROUP BY 1, 3")
+def replay_verify_tamper(spark, sf_dir):
+    """Every tenth artifact's evidence is tampered with; the hash tells."""
+    done = _contacts(table(spark, sf_dir, "documents"))
+    bad = F.transform("results", lambda r: r.withField("confidence", F.lit(0.123)))
+    checked = artifact.replay(done.withColumn("results", F.when(F.col("doc_id") % 10 == 0, bad).otherwise(F.col("results"))), full_registry())
+    return checked.groupBy("hash_ok", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_FLAT} SELECT doc_id, status, true AS same FROM flat")
+def serialize_roundtrip(spark, sf_dir):
+    done = _contacts(table(spark, sf_dir, "documents")).select("doc_id", "status", "results", "unresolved", "replay_hash")
+    back = artifact.decode(artifact.encode(done), done.schema)
+    return back.select("doc_id", "status", F.to_json("results").alias("j"), "replay_hash").join(done.select(F.col("doc_id").alias("id"), F.to_json("results").alias("k"), F.col("replay_hash").alias("h")), F.col("doc_id") == F.col("id")).select("doc_id", "status", ((F.col("j") == F.col("k")) & (F.col("h") == F.col("replay_hash"))).alias("same"))
+
+
+@query(f"WITH {_FLAT} SELECT * FROM flat")
+def streaming_normalize_documents(spark, sf_dir):
+    """The flagship as a stream over the same files, into a table of the shared folder."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sealwright").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    # a pattern, as a stream takes a folder or a pattern, and the table may be one file
+    stream = streaming.read(spark, f"{sf_dir}/documents.parque[t]", docs.schema)
+    streaming.write(_flat(_contacts(stream)), f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query(None)
+def contract_fields(spark, sf_dir):
+    """One row per field of a few contracts in different languages."""
+    from ..sources.contracts import adapt, export
+
+    rows = []
+    for kind in ("dict_dsl", "json_schema:2020-12", "openapi:3.x", "spark_struct"):
+        for f in adapt(export(CONTACTS, kind), kind).fields:
+            rows.append((kind, f.path, f.type.name, f.required, len(f.constraints)))
+    return spark.createDataFrame(rows, "format string, path string, type string, required boolean, n_constraints int")
+
