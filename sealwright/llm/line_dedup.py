@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ _PRIME, _FACTOR = 2_147_483_647, 1_000_003
 _MARK, _END = "\x01", "\x01\x03"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; higher-order functions don't share common subexpressions."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def chunked(text: Column) -> Column:
     """array<string>: the lines of a text in chunks, in order; null text counts as empty.
 
@@ -23,16 +30,19 @@ def chunked(text: Column) -> Column:
     Every step is linear in the text.
     """
     lines = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(_MARK + "\x02")), "\n", -1)
-    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("bigint"))
-    before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(hashes, F.lit(1), F.size(hashes) - 1))
-    rolling = F.zip_with(before, hashes, lambda a, b: F.pmod(a * F.lit(_FACTOR) + b, F.lit(_PRIME)))
-    marked = F.zip_with(lines, rolling, lambda x, r: F.concat(x, F.when(F.pmod(r, F.lit(DIVISOR)) == 0, F.lit(_END)).otherwise(F.lit("\n"))))
-    parts = F.split(F.array_join(marked, ""), _END, -1)
-    # the last part is empty if the last line closed a chunk; otherwise it ends with a line end too many
-    parts = F.transform(parts, lambda x: F.regexp_replace(x, "\n\\z", ""))
-    closed = F.endswith(F.array_join(marked, ""), F.lit(_END))
-    parts = F.when(closed, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.transform(parts, lambda x: F.replace(x, F.lit(_MARK + "\x02"), F.lit(_MARK)))
+    hashed = F.transform(lines, lambda x: F.struct(x.alias("line"), F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("bigint").alias("h")))
+
+    def joined(each: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(each["h"], F.lit(1), F.size(each) - 1))
+        ends = lambda x, h: F.pmod(F.pmod(h * F.lit(_FACTOR) + x["h"], F.lit(_PRIME)), F.lit(DIVISOR)) == 0
+        return F.array_join(F.zip_with(each, before, lambda x, h: F.concat(x["line"], F.when(ends(x, h), F.lit(_END)).otherwise(F.lit("\n")))), "")
+
+    def parts(marked: Column) -> Column:
+        # the last part is empty if the last line closed a chunk; otherwise it ends with a line end too many
+        whole = F.when(F.endswith(marked, F.lit(_END)), F.substring(marked, F.lit(1), F.length(marked) - len(_END))).otherwise(F.substring(marked, F.lit(1), F.length(marked) - 1))
+        return F.transform(F.split(whole, _END, -1), lambda x: F.replace(x, F.lit(_MARK + "\x02"), F.lit(_MARK)))
+
+    return _let(_let(hashed, joined), parts)
 
 
 def _lines(chunk: Column) -> Column:
@@ -48,7 +58,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gives an empty one. Other columns are never read.
     """
     rows = docs.select(F.col(id_col).alias("id"), chunked(F.col(text_col)).alias("chunks"))
-    each = rows.where("id IS NOT NULL").select("id", F.posexplode("chunks").alias("at", "chunk")).where(_lines(F.col("chunk")) >= MIN_LINES)
+    # outer: a text has one chunk at least, and Spark would compute the chunks once more to filter empty arrays
+    each = rows.where("id IS NOT NULL").select("id", F.posexplode_outer("chunks").alias("at", "chunk")).where(_lines(F.col("chunk")) >= MIN_LINES)
     key = (F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("at")).cast("decimal(38,0)")
     each = each.select("id", "at", "chunk", F.sha2("chunk", 256).alias("digest"), key.alias("key"))
     first = each.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).where(F.col("first") < F.col("last"))
