@@ -155,8 +155,24 @@ def _visit(q, own, edges, qi, at, sims, seen, spent) -> None:
     sims[qs, rs] = np.einsum("ij,ij->i", q[qs], own[rs])
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) over the links of a shard, by falling labels."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, x, label[y])
+        np.minimum.at(low, y, label[x])
+        low = low[low]
+        if (low == label).all():
+            return nodes[label != np.arange(len(nodes))], nodes[label[label != np.arange(len(nodes))]]
+        label = low
+
+
 def _search(least: float, shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    none = pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+    """Verified links of a shard, and rows (link false) that tie each node to its component's smallest in the shard."""
+    none = pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"), "link": pd.Series([], dtype="bool")})
     if not len(shard) or not len(asked):
         return none
     ids = shard["rid"].to_numpy()
@@ -174,7 +190,9 @@ def _search(least: float, shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFr
     swap = a > b  # the same order of operands, whichever was the query
     x, y = np.where(swap[:, None], raw[ri], their[qi]), np.where(swap[:, None], their[qi], raw[ri])
     keep = cosine(x, y) >= least
-    return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}).drop_duplicates()
+    links = pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "link": True}).drop_duplicates()
+    node, root = _forest(links["a"].to_numpy(), links["b"].to_numpy())
+    return pd.concat([links, pd.DataFrame({"a": root, "b": node, "link": False})])
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -197,7 +215,7 @@ def audit(rows: DataFrame, pairs: DataFrame, least: float = LEAST_COSINE, n: int
         return 1.0
     ids, queries = np.array([r[0] for r in asked], np.int64), _stack(r[1] for r in asked)
     true = map_texts(rows.select("rid", "embedding"), partial(_brute, ids, queries, least), "a long, b long").distinct()
-    total, got = true.join(pairs.withColumn("got", F.lit(1)), ["a", "b"], "left").agg(F.count(F.lit(1)), F.count("got")).first()
+    total, got = true.join(pairs.where("link").select("a", "b", F.lit(1).alias("got")), ["a", "b"], "left").agg(F.count(F.lit(1)), F.count("got")).first()
     return got / total if total else 1.0
 
 
@@ -211,7 +229,7 @@ def _pairs(rows: DataFrame, at: np.ndarray, overlap: int, least: float) -> DataF
     graph = cut(lists.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "graph")
     nodes = member.join(graph, "rid").select("cluster", "block", "rid", "embedding", "edges", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("asking"))
     asked = member.select(F.col("cluster").alias("of"), F.col("block").alias("by"), F.col("rid").alias("rid"), F.col("embedding").alias("embedding"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
-    found = nodes.groupBy("cluster", "block", "asking").cogroup(asked.groupBy("of", "at", "by")).applyInPandas(partial(_search, least), "a long, b long")
+    found = nodes.groupBy("cluster", "block", "asking").cogroup(asked.groupBy("of", "at", "by")).applyInPandas(partial(_search, least), "a long, b long, link boolean")
     return cut(found.distinct(), "links")
 
 
@@ -239,11 +257,12 @@ def assign(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             overlap *= 2
         pairs = found if pairs is None else pairs.union(found)
     if pairs is None:
-        pairs = spark.createDataFrame([], "a long, b long")
-    both = pairs.union(pairs.select("b", "a"))
+        pairs = spark.createDataFrame([], "a long, b long, link boolean")
+    links = pairs.where("link")
+    both = links.select("a", "b").union(links.select("b", "a"))
     copies = rows.select(F.col("rid").alias("b"), "copies")
     far = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("far"))
-    comp = components(pairs)
+    comp = components(pairs.where("NOT link"))
     node = rows.join(far, F.col("rid") == F.col("a"), "left").join(comp, F.col("rid") == F.col("id"), "left")
     node = node.select(F.col("embedding").alias("e"), (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n"), F.coalesce("component", "rid").alias("component"))
     rows_in = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
