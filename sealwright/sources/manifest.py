@@ -28,16 +28,24 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inputs(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """Manifest rows with their file's bytes; a file that is missing stops the run."""
-    root = len(_real(spark, folder))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.expr(f"substring(path, {root + 2})").alias("file"), F.col("content").alias("raw"))
+    """Manifest rows with their file's bytes; a file that is missing stops the run.
+
+    Spark's file sources skip files of no bytes, so rows that find none are looked up one by one.
+    """
+    store, root = _store(spark, folder)
+    name = F.expr(f"substring(path, {len(root.toString()) + 2})")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(name.alias("file"), F.col("content").alias("raw"))
     rows = manifest.join(files, F.col("input_file") == F.col("file"), "left").drop("file")
-    return rows.withColumn("raw", F.when(F.col("raw").isNull(), F.raise_error(F.concat(F.lit("no input file "), F.col("input_file"))).cast("binary")).otherwise(F.col("raw")))
+    for (missing,) in rows.where("raw IS NULL").select("input_file").distinct().toLocalIterator():
+        if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(root, missing)):
+            raise EngineError(f"no input file {missing}", "MISSING_INPUT")
+    return rows.withColumn("raw", F.coalesce("raw", F.lit(b"")))
 
 
-def _real(spark: SparkSession, folder: str) -> str:
+def _store(spark: SparkSession, folder: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toString()
+    store = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return store, store.makeQualified(p)
 
 
 def run(spark: SparkSession, manifest_path: str, folder: str, contracts: Mapping[str, Any], out: str | None = None, **options: Any) -> tuple[DataFrame, DataFrame]:

@@ -406,7 +406,7 @@ def test_manifest(spark, tmp_path):
     assert {r.id: r.status for r in done.collect()} == {"one": "SUCCESS", "two": "UNRESOLVED"}
     assert summary.first().asDict() == {"total": 2, "successful": 1, "unresolved": 1}
     assert spark.read.json(f"{tmp_path}/out").count() == 2
-    for text, code in (("id,input_file,contract_name\n", "EMPTY_MANIFEST"), ("id,input_file,contract_name\nx,../a.txt,c\n", "UNSAFE_MANIFEST"), ("id,input_file,contract_name\nx,a.txt,d\n", "UNKNOWN_CONTRACT")):
+    for text, code in (("id,input_file,contract_name\n", "EMPTY_MANIFEST"), ("id,input_file,contract_name\nx,../a.txt,c\n", "UNSAFE_MANIFEST"), ("id,input_file,contract_name\nx,a.txt,d\n", "UNKNOWN_CONTRACT"), ("id,input_file,contract_name\nx,z.txt,c\n", "MISSING_INPUT")):
         (tmp_path / "bad.csv").write_text(text)
         with pytest.raises(EngineError) as e:
             manifest.run(spark, f"{tmp_path}/bad.csv", f"{tmp_path}/in", {"c": contract})
