@@ -16,7 +16,7 @@ from .common import map_texts, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 3
 #: Units of text that a worker remembers; beyond it, it starts anew. It changes speed only.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 SPACE = "▁"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,77 +117,95 @@ class Codec:
                     self._solve(own[k : k + 20_000], size)
 
     def _solve(self, own: list[str], size: int) -> None:
+        """Forward and backward Viterbi of n units of one length; a row of an array is one position of all of them."""
         n = len(own)
-        points = np.frombuffer("".join(own).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
+        points = np.frombuffer("".join(own).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64) + np.uint64(1)
         widest = min(size, self.longest)
-        score = np.full((widest + 1, n, size), -np.inf)
-        ids = np.full((widest + 1, n, size), -1, np.int64)
-        rolling = np.zeros((n, size), np.uint64)
+        score = np.full((widest + 1, size, n), -np.inf)
+        ids = np.full((widest + 1, size, n), -1, np.int32)
+        used = np.zeros(widest + 1, bool)
+        rolling = np.zeros((size, n), np.uint64)
         with np.errstate(over="ignore"):
             for w in range(1, widest + 1):
-                rolling = rolling[:, : size - w + 1] * _FACTOR + points[:, w - 1 :]
+                rolling = rolling[: size - w + 1] * _FACTOR + points[w - 1 :]
                 if (of := self.by_size[w]) is None:
                     continue
-                at = np.minimum(np.searchsorted(of[0], rolling), len(of[0]) - 1)
+                at = np.minimum(np.searchsorted(of[0], rolling.ravel()), len(of[0]) - 1).reshape(rolling.shape)
                 hit = of[0][at] == rolling
-                score[w, :, : size - w + 1] = np.where(hit, of[2][at], -np.inf)
-                ids[w, :, : size - w + 1] = np.where(hit, of[1][at], -1)
+                used[w] = hit.any()
+                score[w, : size - w + 1] = np.where(hit, of[2][at], -np.inf)
+                ids[w, : size - w + 1] = np.where(hit, of[1][at], -1)
+        used[1] = True
         score[1] = np.where(ids[1] < 0, self.fallback, score[1])
-        ahead, last = np.full((n, size + 1), -np.inf), np.zeros((n, size + 1), np.int64)
-        ahead[:, 0] = 0
+        widths = np.flatnonzero(used).tolist()
+        ahead, last = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int8)
+        ahead[0] = 0
         for j in range(1, size + 1):
-            for w in range(1, min(j, widest) + 1):
-                s = ahead[:, j - w] + score[w, :, j - w]
-                better = s >= ahead[:, j]  # on a tie the longer last piece
-                better &= s > -np.inf
-                ahead[better, j], last[better, j] = s[better], w
-        behind = np.full((n, size + 1), -np.inf)
-        behind[:, size] = 0
+            for w in widths:
+                if w <= j:
+                    s = ahead[j - w] + score[w, j - w]
+                    better = (s >= ahead[j]) & (s > -np.inf)  # on a tie the longer last piece
+                    np.copyto(ahead[j], s, where=better)
+                    np.copyto(last[j], w, where=better)
+        behind = np.full((size + 1, n), -np.inf)
+        behind[size] = 0
         for i in range(size - 1, -1, -1):
-            for w in range(1, min(size - i, widest) + 1):
-                np.maximum(behind[:, i], score[w, :, i] + behind[:, i + w], out=behind[:, i])
+            for w in widths:
+                if w <= size - i:
+                    np.maximum(behind[i], score[w, i] + behind[i + w], out=behind[i])
         at, rows = np.full(n, size), np.arange(n)
-        path = np.full((n, size), -1, np.int64)
-        width = np.zeros((n, size), np.int64)
+        path, width = np.full((n, size), -1, np.int32), np.zeros((n, size), np.int8)
         while len(rows):
-            w = last[rows, at[rows]]
+            w = last[at[rows], rows].astype(np.int64)
             start = at[rows] - w
-            path[rows, start], width[rows, start] = ids[w, rows, start], w
-            score[w, rows, start] = -np.inf  # so that below a second segmentation differs in an edge
+            path[rows, start], width[rows, start] = ids[w, start, rows], w
+            score[w, start, rows] = -np.inf  # so that below a second segmentation differs in an edge
             at[rows] = start
             rows = rows[start > 0]
         second = np.full(n, -np.inf)
-        for w in range(1, widest + 1):
-            np.maximum(second, (ahead[:, : size - w + 1] + score[w, :, : size - w + 1] + behind[:, w:]).max(axis=1), out=second)
-        loss = ahead[:, size] - second
-        spelled = ((path < 0) & (width > 0)).any(axis=1)
+        for w in widths:
+            np.maximum(second, (ahead[: size - w + 1] + score[w, : size - w + 1] + behind[w:]).max(axis=0), out=second)
+        taken = width > 0
+        packed, ends = path[taken].astype("<i4").tobytes(), np.cumsum(taken.sum(axis=1)).tolist()
+        best, loss, start = ahead[size].tolist(), (ahead[size] - second).tolist(), 0
         for k, u in enumerate(own):
-            if spelled[k]:
-                found: list[int] = []
-                for i in np.flatnonzero(width[k]):
-                    found += [int(path[k, i])] if path[k, i] >= 0 else self._spell(u[i])
-            else:
-                found = path[k][width[k] > 0]
-            self.known[u] = (np.asarray(found, "<i4").tobytes(), float(ahead[k, size]), float(loss[k]))
+            self.known[u] = (packed[4 * start : 4 * ends[k]], best[k], loss[k])
+            start = ends[k]
+        for k in np.flatnonzero((taken & (path < 0)).any(axis=1)).tolist():
+            found: list[int] = []
+            for i in np.flatnonzero(taken[k]).tolist():
+                found += [int(path[k, i])] if path[k, i] >= 0 else self._spell(own[k][i])
+            self.known[own[k]] = (np.asarray(found, "<i4").tobytes(), best[k], loss[k])
 
     def units(self, text: str) -> list[str]:
         return self.unit.findall(" " + text) if text else []
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Solve the units of texts that aren't known; what is known is dropped first where it would be too much."""
+        every = {u for units in texts for u in units}
+        new = [u for u in every if u not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            self.lists.clear()
+            new = list(every)
+        self.solve(new)
+
     def encode(self, text: str, n: int = NBEST) -> list[tuple[float, bytes]]:
         """The n best (score, ids as little-endian int32) of a text, the best first; '' has one empty segmentation."""
         units = self.units(text)
-        if new := set(units) - self.known.keys():
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                self.lists.clear()
-                new = set(units)
-            self.solve(list(new))
+        self.learn([units])
+        return self.choose(units, n)
+
+    def choose(self, units: list[str], n: int) -> list[tuple[float, bytes]]:
+        """The n best of a text whose units are known."""
+        if not units:
+            return [(0.0, b"")]
         known = self.known
-        best = [known[u] for u in units]
-        total = sum(b[1] for b in best)
-        out = [(total, b"".join([b[0] for b in best]))]
+        best_ids, scores, losses = zip(*[known[u] for u in units], strict=True)
+        total = sum(scores)
+        out = [(total, b"".join(best_ids))]
         # any other of the n best differs in units whose second best loses least, n - 1 of them at most
-        open_units = [k for d, k in nsmallest(n - 1, ((b[2], k) for k, b in enumerate(best))) if d < np.inf]
+        open_units = [k for k in np.argsort(np.array(losses), kind="stable")[: n - 1].tolist() if losses[k] < np.inf]
         choices = []
         for k in open_units:
             u = units[k]
@@ -201,7 +219,7 @@ class Codec:
         while heap and len(out) <= n:
             loss, first, pick = heappop(heap)
             if seen:
-                ids = [b[0] for b in best]
+                ids = list(best_ids)
                 for k, c, p in zip(open_units, choices, pick, strict=True):
                     if p:
                         ids[k] = np.array(c[p][1], "<i4").tobytes()
@@ -237,14 +255,10 @@ def _encode(model, n: int, batches):
     for batch in batches:
         ids, scores, same = [], [], []
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        new = {u for t in texts for u in codec.units(t)} - codec.known.keys()
-        if len(codec.known) + len(new) > 2 * REMEMBERED:
-            codec.known.clear()
-            codec.lists.clear()
-            new = {u for t in texts for u in codec.units(t)}
-        codec.solve(list(new))
-        for text in texts:
-            found = codec.encode(text, n)
+        units = [codec.units(t) for t in texts]
+        codec.learn(units)
+        for text, own in zip(texts, units, strict=True):
+            found = codec.choose(own, n)
             ids.append(found[0][1])
             scores.append([s for s, _ in found])
             same.append(codec.decode(found[0][1]) == text)
