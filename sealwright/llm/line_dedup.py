@@ -29,8 +29,8 @@ def chunked(text: Column) -> Column:
     A boundary depends on two neighbouring lines alone, so an insertion shifts no boundary but those beside it.
     Every step is linear in the text.
     """
-    lines = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(_MARK + "\x02")), "\n", -1)
-    hashed = F.transform(lines, lambda x: F.struct(x.alias("line"), F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("bigint").alias("h")))
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    hashed = F.transform(lines, lambda x: F.struct(F.replace(x, F.lit(_MARK), F.lit(_MARK + "\x02")).alias("line"), F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("bigint").alias("h")))
 
     def joined(each: Column) -> Column:
         before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(each["h"], F.lit(1), F.size(each) - 1))
