@@ -118,6 +118,9 @@ def span_features(toks: list[str], i: int, j: int) -> list[str]:
         f"groups{min(len(numbers), 6)}",
         f"words{min(len(words), 3)}",
         f"ats{min(ats, 2)}{min(dots, 2)}",
+        f"spaces{min(body.count(' '), 4)}{bool(ats)}",
+        f"gap{bool(re.search(r'[^_0-9\W] [^_0-9\W]', body))}{bool(ats)}",
+        f"whole{min(ats, 2)}{bool(dots)}{own[0].isalnum()}{left.isspace()}{right.isspace()}",
         f"first{own[0] if not own[0].isalnum() else 'd' if own[0].isdigit() else 'w'}",
         f"last{own[-1] if not own[-1].isalnum() else 'd' if own[-1].isdigit() else 'w'}",
         f"left{'n' if left.isalnum() else 's' if left.isspace() else left if left in '+@.-=' else 'p'}",
