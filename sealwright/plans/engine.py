@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import profile as P
-from ..model import Budget, Contract, CurrencyPolicy, Merge, Plan, Policy
+from ..model import Budget, Contract, CurrencyPolicy, Field, Merge, Plan, Policy
 from ..operators import candidates as C
 from ..operators.reconcile import resolve
 from ..operators.registry import Context, Registry, default_registry
@@ -19,6 +21,21 @@ from .artifact import seal
 PROFILE = "__profile"
 
 
+@lru_cache(maxsize=512)
+def _compiled(gateway: int, field: Field, name: str, strategy: Merge, policy: CurrencyPolicy, rate: Decimal | None) -> Column:
+    return resolve(field, F.col(name), strategy, policy, rate)
+
+
+def resolution(field: Field, name: str, strategy: Merge, policy: CurrencyPolicy, rate: Decimal | None) -> Column:
+    """The field's resolution over the candidates column `name`. It is a few hundred calls to the JVM to build and
+    depends on the contract alone, so it is built once a contract and JVM; defaults that can't be hashed build it anew."""
+    try:
+        hash(field)
+    except TypeError:
+        return resolve(field, F.col(name), strategy, policy, rate)
+    return _compiled(id(SparkContext._gateway), field, name, strategy, policy, rate)
+
+
 def explicit(profile: Column) -> tuple[Column, Column]:
     """Whether the input has text to quote, for STRING fields and for others."""
     dense = ~profile["is_empty"] & (profile["density"] > planner.LEAST_DENSITY)
@@ -88,7 +105,7 @@ def normalize(
     names = [f"__c{i}" for i in range(len(results))]
     # candidates first, so that each is computed once however often the resolution reads it
     rows = rows.select("*", *[c.alias(n) for (_, c), n in zip(results, names, strict=True)], (pick(planned) if len(planned) > 1 else planned[0]).alias("__plan_diagnostics"))
-    fields = F.array(*[resolve(f, F.col(n), strategy, currency_policy, fx_rate) for (f, _), n in zip(results, names, strict=True)])
+    fields = F.array(*[resolution(f, n, strategy, currency_policy, fx_rate) for (f, _), n in zip(results, names, strict=True)])
     keep = [c for c in df.columns if c != raw or keep_raw]
     out = rows.select(*keep, F.col(PROFILE).alias("profile"), F.col("__plan_diagnostics").alias("plan_diagnostics"), fields.alias("results"))
     return seal(out, contract, policy)
