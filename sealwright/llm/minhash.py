@@ -1,11 +1,9 @@
-"""MinHash near-dedup: bands propose, odd sketches estimate, full shingle sets decide."""
+"""MinHash near-dedup: bands propose, odd sketches estimate and bound, full shingle sets decide."""
 
 from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +21,11 @@ SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
 #: A pair at 0.75 is passed on with all but 1e-6: the cut lies 5 deviations (MinHash's and the bitmap's) below it.
 LEAST_ESTIMATE = 0.44
+#: Words of the odd sketch of the whole shingle set. A bit of it differs only where the sets do, so that its count of
+#: differing bits never exceeds the symmetric difference: what it rules out is ruled out for certain.
+SET_WORDS = 64
+#: Rounds in which a document meets one member of each bucket, another in every bucket and round.
+ROUNDS = 2
 #: At most so many ids are broadcast to pick the texts to compare; more are joined by shuffle.
 IDS_BROADCAST = 500_000
 
@@ -56,6 +59,11 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def set_sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((mix64(s) % np.uint64(64 * SET_WORDS)).astype(np.int64), minlength=64 * SET_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def most_bits(similarity: float) -> int:
     """The number of differing bits that odd sketches of this similarity have on average."""
     return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / SKETCH_BITS)))
@@ -64,7 +72,7 @@ def most_bits(similarity: float) -> int:
 def _sign(batches):
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        n, digests, bands, sketches = [], [], [], []
+        n, digests, bands, sketches, whole = [], [], [], [], []
         for text in texts:
             s = shingles(text.as_py())
             n.append(len(s))
@@ -72,6 +80,7 @@ def _sign(batches):
                 digests.append(None)
                 bands.append(None)
                 sketches.append(None)
+                whole.append(None)
                 continue
             m = minhash(s)
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -81,9 +90,10 @@ def _sign(batches):
                     key = mix64((key ^ row) * _A[0] + _B[0])
             bands.append(key.view(np.int64))
             sketches.append(odd_sketch(m).view(np.int64))
+            whole.append(set_sketch(s).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-            ["id", "n", "digest", "bands", "sketch"],
+            [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))],
+            ["id", "n", "digest", "bands", "sketch", "whole"],
         )
 
 
@@ -105,7 +115,23 @@ def _compare(batches):
 
 
 def _differ(x: str, y: str) -> Column:
-    return reduce(add, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_WORDS)])
+    """Bits that differ, by a fold: sixty-four terms in a row are too long a method for the JVM to compile."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+
+
+def _likely() -> Column:
+    """Sketches x, y of samples: the estimate isn't far below the threshold."""
+    return _differ("x", "y") <= most_bits(LEAST_ESTIMATE)
+
+
+def _possible() -> Column:
+    """Sets of sizes p and q and sketches v, w: the difference that is seen for certain leaves room for a link.
+
+    |A and B| / |A or B| = (s - m) / (s + m) for s = p + q and the symmetric difference m, of which the bits that
+    differ are a lower bound, as are the sizes' difference.
+    """
+    m = F.greatest(_differ("v", "w").cast("long"), F.abs(F.col("p") - F.col("q")))
+    return F.lit(100 + PERCENT) * m <= F.lit(100 - PERCENT) * (F.col("p") + F.col("q"))
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -118,55 +144,58 @@ def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long"), "links")
 
 
-def _none(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "a long, b long")
-
-
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, components): (id, n, digest) of each document, (digest, component) of each set that isn't empty.
 
-    Documents of one set are one class, named by its smallest id. Classes that share a band are compared in three
-    rounds: each with its bucket's smallest member; then, where a bucket still holds several components, each with
-    the smallest member of the other components; then all pairs of different components that remain, so that no
-    link between components is lost though the pairs inside a component are never listed.
+    Documents of one set are one class, named by its smallest id. In each of a few rounds every class that isn't yet
+    of one component with a member of its buckets, chosen by hash, is compared with those members, and the likeliest
+    pair confirmed; that costs rows in proportion to the seats and joins large groups. Then all pairs of a bucket that
+    are still of different components are compared by their sketches, inside the join, and those that could be links
+    confirmed: no link between components is lost, and pairs inside a component are never listed.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(map_texts(docs, _sign, "id long, n long, digest binary, bands array<long>, sketch array<long>"), "signed")
+    signed = cut(map_texts(docs, _sign, "id long, n long, digest binary, bands array<long>, sketch array<long>, whole array<long>"), "signed")
     classes = signed.where("id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class"))
     named = signed.join(classes.select(F.col("class").alias("c")).distinct(), F.col("id") == F.col("c"), "left_semi").where("digest IS NOT NULL")
     seats = named.select("id", F.explode("bands").alias("band"))
-    shared = seats.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead")
-    seats = cut(seats.join(shared, "band").distinct(), "seats")
-    sketches = cut(named.join(seats.select("id").distinct(), "id", "left_semi").select("id", "sketch"), "sketches")
-    near = F.lit(most_bits(LEAST_ESTIMATE))
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        x = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
-        y = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(_differ("x", "y") <= near).select("a", "b")
-
-    first = seats.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    tested = cut(estimated(first), "pairs")
-    found = _confirm(docs, tested)
-    for everything in (False, True):
-        comp = components(found)
-        now = seats.select("band", "id").join(comp, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
+    shared = seats.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
+    seats = cut(seats.join(shared, "band", "left_semi").distinct(), "seats")
+    nodes = cut(named.select("id", "n", "sketch", "whole").join(seats.select("id").distinct(), "id", "left_semi"), "nodes")
+    found = comp = None
+
+    def open_seats() -> DataFrame:
+        """Seats in buckets that hold several components."""
+        now = seats.withColumn("comp", F.col("id"))
+        if comp is not None:
+            now = seats.join(comp, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
         split = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        now = cut(now.join(split, "band", "left_semi").join(sketches, "id"), "open")
-        if now.isEmpty():
+        return now.join(split, "band", "left_semi")
+
+    for k in range(ROUNDS):
+        now = open_seats()
+        lead = now.groupBy("band").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("band", "id", F.lit(k))).alias("lead"))
+        met = now.join(lead, "band").where("comp <> lead.comp").select("id", F.col("lead.id").alias("lead")).distinct()
+        one = nodes.select("id", F.col("n").alias("p"), F.col("sketch").alias("x"), F.col("whole").alias("v"))
+        two = nodes.select(F.col("id").alias("lead"), F.col("n").alias("q"), F.col("sketch").alias("y"), F.col("whole").alias("w"))
+        likely = met.join(one.select("id", "x"), "id").join(two.select("lead", "y"), "lead").where(_likely()).select("id", "lead")
+        close = likely.join(one.select("id", "p", "v"), "id").join(two.select("lead", "q", "w"), "lead").where(_possible())
+        best = close.groupBy("id").agg(F.min_by("lead", F.struct(_differ("v", "w"), "lead")).alias("lead"))
+        pairs = cut(best.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
             break
-        mine = now.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("x"))
-        other = now.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("y"))
-        if not everything:
-            heads = now.groupBy("band", "comp").agg(F.min("id").alias("id")).select("band", F.col("id").alias("a"))
-            mine = mine.join(heads, ["band", "a"], "left_semi")
-        pairs = mine.join(other, "band").where((F.col("ca") != F.col("cb")) & (_differ("x", "y") <= near))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = cut(found.union(_confirm(docs, pairs)), "links")
-        tested = tested.union(pairs)
-    comp = components(found)
+        new = _confirm(docs, pairs)
+        found = new if found is None else cut(found.union(new), "links")
+        comp = components(found)
+    rest = cut(open_seats().join(nodes, "id"), "open")
+    mine = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("p"), F.col("sketch").alias("x"), F.col("whole").alias("v"))
+    other = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("q"), F.col("sketch").alias("y"), F.col("whole").alias("w"))
+    pairs = mine.join(other, (mine.band == other.band) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _likely() & _possible()).select("a", "b").distinct()
+    pairs = cut(pairs, "pairs")
+    if not pairs.isEmpty():
+        last = _confirm(docs, pairs)
+        comp = components(last if found is None else cut(found.union(last), "links"))
+    if comp is None:
+        return signed.select("id", "n", "digest"), classes.select(F.col("digest").alias("d"), F.col("class").alias("component"))
     of = classes.join(comp, F.col("class") == F.col("id"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "class").alias("component"))
     return signed.select("id", "n", "digest"), of
 
