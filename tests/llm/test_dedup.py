@@ -151,6 +151,7 @@ def test_lines(spark):
     block = [f"line {k}" for k in range(30)]
     rows = [(1, "\n".join(block)), (2, "new\n" + "\n".join(block) + "\nend"), (3, None), (4, ""), (5, "\n\n\n"), (6, "a\x01b\n\x01\x03\n\x01\x02"), (7, "\n".join(block[:15] * 2)), (None, "\n".join(block))]
     rows += [(10 + k, "\n".join(rng.choice(block) for _ in range(40))) for k in range(5)]
+    rows += [(20 + k, "\n".join([*block[:k], f"inserted {k}", *block[k:]])) for k in (7, 19)]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(clashing(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     seen, removed = set(), 0
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
