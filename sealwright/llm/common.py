@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space as the contracts define it: space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -150,7 +151,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 BATCH_ROWS = 400
 
 
-def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, function, schema: StructType | str) -> DataFrame:
     """mapInArrow in batches of few rows. `function` takes an iterator of record batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(function, schema)

@@ -5,25 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, minhash, mixing, sentencepiece_nbest
 from .common import cut, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Documents are rejected up to this cosine with every language. A few words of any language lie above it.
-LEAST_SCORE = 0.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language. Rows of null id have no prediction to join and stay; so does all if nothing is
-    labelled, as nothing can be told from anything then."""
+    """Documents in a known language; all of them if nothing is labelled, as nothing can be told from anything then."""
     known = langid.profiles(docs)
-    if not known[0]:
-        return docs
-    found = langid.identify(docs, known)
-    gone = found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") <= LEAST_SCORE)).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return langid.keep_known(docs, known) if known[0] else docs
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,24 @@ def test_language_odd_rows(spark, no_docs):
     assert langid.identify(rows, langid.profiles(no_docs)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    from sealwright.llm import pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rng = random.Random(8)
+    script = lambda low, high, n: " ".join("".join(chr(rng.randint(low, high)) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    foreign = [script(*s, n) for s in ((0x430, 0x44F), (0x4E00, 0x9FA5), (0x3041, 0x3096), (97, 122)) for n in (10, 20, 100, 100, 400)]
+    clean = ["It was on the", "That it.", "Der eingeä erer.", "La de un que une", "To of the thing", "Nd, " * 400]
+    rows = [(9_000_000 + i, t, None, "src0", len(t)) for i, t in enumerate(foreign)] + [(9_100_000 + i, t, None, "src0", len(t)) for i, t in enumerate(clean)]
+    rows += [(9_000_000, clean[0], None, "src0", 1), (None, foreign[0], None, "src0", 1), (None, clean[0], None, "src0", 1)]
+    planted = spark.createDataFrame(rows, docs.schema)
+    got = pipeline.language(spark, docs.unionByName(planted), DATA)
+    assert got.columns == docs.columns
+    kept = [r.text for r in got.where("doc_id is null or doc_id >= 9000000").collect()]
+    assert sorted(kept) == sorted([*clean, clean[0], clean[0]])
+    assert got.where("doc_id < 9000000").count() == docs.count()
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     codes = langid.trigrams("Ab, ä!")
     assert len(codes) == 4
