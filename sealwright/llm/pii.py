@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: The longest entity in tokens, and the farthest that a chunk reaches from its trigger in characters.
-MOST_TOKENS, REACH = 18, 64
+#: The longest entity in tokens, and how many tokens' candidates are scored at a time, which bounds a task's memory.
+MOST_TOKENS, AT_ONCE = 18, 2000
 #: Training: number of made-up islands, passes, step, ridge and seed.
 EXAMPLES, PASSES, STEP, RIDGE, SEED = 360, 40, 0.4, 1e-3, 7
 
@@ -29,8 +29,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
-_MORE = re.compile(r" (?:[(+\[]*[0-9@][^\s]{0,63}|[(\[](?:at|dot)[)\]][^\s]{0,63})")
-_WORD = re.compile(r" [^\s]{1,63}")
+_MORE = re.compile(r" (?:[(+\[]*[0-9@][^\s]*+|[(\[](?:at|dot)[)\]][^\s]*+)")
+_WORD = re.compile(r" [^\s]++")
+_CHUNK = re.compile(r"[^\s]*+")
 
 Span = tuple[str, int, int]
 
@@ -68,25 +69,23 @@ def base_spans(text: str) -> list[Span]:
 
 
 def islands(text: str):
-    """(start, end) of the stretches that may hold an entity: chunks around a digit, an @ or a written (at)."""
+    """(start, end) of the stretches that may hold an entity: chunks around a digit, an @ or a written (at).
+
+    A stretch is as long as its chunks go on; nothing cuts one by length, and each ends before white space.
+    """
     done = 0
     for m in _TRIGGER.finditer(text):
-        i = m.start()
-        if i < done:
+        s = m.start()
+        if s < done:
             continue
-        s, low = i, max(done, i - REACH)
-        while s > low and not text[s - 1].isspace():
+        while s > done and not text[s - 1].isspace():
             s -= 1
         if text[s] in "@[(" and s - 1 > done and text[s - 1] == " ":  # a name before a spaced @
             s -= 1
-            while s > low and not text[s - 1].isspace():
+            while s > done and not text[s - 1].isspace():
                 s -= 1
-        e = i
-        while e < len(text) and e < i + REACH and not text[e].isspace():
-            e += 1
-        while e - s < 4 * REACH and (more := _MORE.match(text, e)):
-            e = more.end()
-        if text[e - 1] in "@])" and (more := _WORD.match(text, e)):
+        e = _CHUNK.match(text, m.start()).end()
+        while more := _MORE.match(text, e) or (_WORD.match(text, e) if text[e - 1] in "@])" else None):
             e = more.end()
         yield s, e
         done = e
@@ -140,11 +139,12 @@ def span_features(toks: list[str], i: int, j: int) -> list[str]:
     return out
 
 
-def candidates(toks: list[str], closed: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Spans of at most MOST_TOKENS tokens that hold a trigger and neither begin nor end with a space."""
+def candidates(toks: list[str], closed: list[bool] | None = None, first: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """Spans of at most MOST_TOKENS tokens that hold a trigger and neither begin nor end with a space, by start; only
+    those that start in first..end."""
     out = []
-    for i, t in enumerate(toks):
-        if t.isspace():
+    for i in range(first, len(toks) if end is None else min(end, len(toks))):
+        if toks[i].isspace():
             continue
         hot = False
         for j in range(i + 1, min(len(toks), i + MOST_TOKENS) + 1):
@@ -214,28 +214,25 @@ class Model:
 
     def decode(self, toks: list[str], closed: list[bool] | None = None) -> list[tuple[str, int, int]]:
         """Boundaries and kinds of the segmentation of the largest sum, in one pass over entities of bounded length."""
-        spans = candidates(toks, closed)
-        if not spans:
-            return []
-        scores = self.scores(toks, spans)
-        ending: dict[int, list[int]] = {}
-        for k, (_, j) in enumerate(spans):
-            ending.setdefault(j, []).append(k)
-        best, back = [0.0] * (len(toks) + 1), [None] * (len(toks) + 1)
-        kinds, tops = scores.argmax(axis=1), scores.max(axis=1)
-        for j in range(1, len(toks) + 1):
-            best[j] = best[j - 1]
-            for k in ending.get(j, ()):
-                if (s := best[spans[k][0]] + tops[k]) > best[j]:
-                    best[j], back[j] = s, k
+        best, back = [0.0] + [-np.inf] * len(toks), [None] * (len(toks) + 1)
+        for first in range(0, len(toks), AT_ONCE):
+            end = min(first + AT_ONCE, len(toks))
+            spans = candidates(toks, closed, first, end)
+            scores = self.scores(toks, spans)
+            kinds, tops = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()
+            k = 0
+            for i in range(first, end):
+                while k < len(spans) and spans[k][0] == i:
+                    if (s := best[i] + tops[k]) > best[spans[k][1]]:
+                        best[spans[k][1]], back[spans[k][1]] = s, (KINDS[kinds[k]], *spans[k])
+                    k += 1
+                if best[i] >= best[i + 1]:  # all that ends at i + 1 is known here
+                    best[i + 1], back[i + 1] = best[i], None
         out, j = [], len(toks)
         while j:
-            if back[j] is None:
-                j -= 1
-            else:
-                k = back[j]
-                out.append((KINDS[kinds[k]], *spans[k]))
-                j = spans[k][0]
+            if back[j]:
+                out.append(back[j])
+            j = back[j][1] if back[j] else j - 1
         return out[::-1]
 
 
@@ -307,9 +304,12 @@ def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
             k += 1
         closed, toks, place = None, None, s
         if over:
-            rest = list(text[s:e])
+            rest, taken_up = list(text[s:e]), bytearray(e - s)
             for a, b in over:
-                rest[max(0, a - s) : b - s] = " " * (min(b, e) - max(a, s))
+                low, high = max(a, s) - s, min(b, e) - s
+                if low < high:
+                    rest[low:high] = " " * (high - low)
+                    taken_up[low:high] = b"\1" * (high - low)
             if not _TRIGGER.search("".join(rest)):
                 continue  # base spans cover all that could be an entity
         toks = tokens(text[s:e])
@@ -318,7 +318,7 @@ def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
             place += len(t)
             places.append(place)
         if over:
-            closed = [any(a < places[i + 1] and places[i] < b for a, b in over) for i in range(len(toks))]
+            closed = [taken_up.find(1, places[i] - s, places[i + 1] - s) >= 0 for i in range(len(toks))]
         added += [(kind, places[i], places[j]) for kind, i, j in model.decode(toks, closed)]
     order = lambda x: (KINDS.index(x[0]), x[1])
     return sorted(base, key=order), sorted(base + added, key=order)

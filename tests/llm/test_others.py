@@ -212,6 +212,25 @@ def test_decoding_is_exact():
         assert sum(max(model.scores(toks, [(i, j)])[0]) for _, i, j in found) == pytest.approx(best)
 
 
+def test_stretches_are_not_cut(monkeypatch):
+    """Long lists and long runs without white space against one decoding of the whole text."""
+    model = pii.train()
+    lists = [sep.join([body] * n) for body, n in (("(988)555-2485", 300), ("jane.doe[at]example.com", 100), ("4111.1111.1111.1111", 100)) for sep in (",", ";")]
+    lists += [" ".join([body] * 60) for body in ("(988) 555-2485", "988-555-2485", "988 555 2485 99,", "(988)555-2485")]
+    lists += ["x" * 500 + "," + ",".join(["988-555-2485"] * 9), "12 " * 30 + ",".join(["988-555-2485"] * 90)]
+    for text in lists:
+        toks = pii.tokens(text)
+        place = [0, *itertools.accumulate(map(len, toks))]
+        assert pii.all_spans(text, model) == ([], sorted(((k, place[i], place[j]) for k, i, j in model.decode(toks)), key=lambda x: (pii.KINDS.index(x[0]), x[1]))), text
+    whole = model.decode(toks)
+    assert len(whole) >= 89 and len(toks) < pii.AT_ONCE
+    for at_once in (1, 7, 50):
+        monkeypatch.setattr(pii, "AT_ONCE", at_once)
+        assert model.decode(toks) == whole
+    base, every = pii.all_spans(",".join(["a@b.cd", "(988)555-2485"] * 50), model)
+    assert len(base) == 50 and [k for k, _, _ in every].count("phone") >= 49
+
+
 def test_pii_rows(spark, no_docs):
     rows = [(1, "mail a@b.cd, 10.0.0.1"), (2, None), (None, "+1 (234) 555-0199"), (1, ""), (3, "7" * 30_000 + " " + "1." * 20_000 + "@" * 5000)]
     got = {(r.doc_id, r.n_email, r.n_ip, r.n_phone, r.spans) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1))).where("coalesce(doc_id, 0) <> 3").collect()}
