@@ -16,7 +16,7 @@ from .common import map_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The longest entity in tokens, and how many tokens' candidates are scored at a time, which bounds a task's memory.
-MOST_TOKENS, AT_ONCE = 18, 2000
+MOST_TOKENS, AT_ONCE = 32, 2000
 #: Training: number of made-up islands, passes, step, ridge and seed.
 EXAMPLES, PASSES, STEP, RIDGE, SEED = 360, 40, 0.4, 1e-3, 7
 
@@ -27,9 +27,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+# A written at or dot stands in brackets, or bare between words, where an at needs a dot after it.
+_IN = r"[\[({](?i:%s)[\])}]"
+_AT, _DOT = _IN % "at", _IN % "dot"
+_BARE_AT = rf"(?<=\w) (?i:at) (?=[\w-]++(?: (?i:dot) | ?{_DOT}))"
+_TRIGGER = re.compile(rf"[0-9@]|{_AT}|{_BARE_AT}")
+_ATS = re.compile(rf"@|{_AT}|{_BARE_AT}")
+_DOTS = re.compile(rf"[^\W_]\s?(?:\.|{_DOT}|(?<= )(?i:dot)(?= ))\s?[^\W_]")
+_BARE_DOT = re.compile(r"(?<=\w) (?i:dot) (?=\w)")
+_IS_DOT = re.compile(rf"(?i:dot)|{_DOT}")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
-_MORE = re.compile(r" (?:[(+\[]*[0-9@][^\s]*+|[(\[](?:at|dot)[)\]][^\s]*+)")
+_MORE = re.compile(rf" (?:[(+\[]*[0-9@][^\s]*+|{_IN % 'at|dot'}[^\s]*+|(?i:dot) [^\s]++)|{_BARE_AT}[^\s]++")
 _WORD = re.compile(r" [^\s]++")
 _CHUNK = re.compile(r"[^\s]*+")
 
@@ -69,7 +77,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def islands(text: str):
-    """(start, end) of the stretches that may hold an entity: chunks around a digit, an @ or a written (at).
+    """(start, end) of the stretches that may hold an entity: chunks around a digit, an @ or a written at.
 
     A stretch is as long as its chunks go on; nothing cuts one by length, and each ends before white space.
     """
@@ -80,12 +88,15 @@ def islands(text: str):
             continue
         while s > done and not text[s - 1].isspace():
             s -= 1
-        if text[s] in "@[(" and s - 1 > done and text[s - 1] == " ":  # a name before a spaced @
-            s -= 1
-            while s > done and not text[s - 1].isspace():
-                s -= 1
+        while s - 1 > done and text[s - 1] == " ":  # a name before a spaced @, and one that has written dots
+            low = s - 1
+            while low > done and not text[low - 1].isspace():
+                low -= 1
+            if text[s] not in "@[({" and not _IS_DOT.match(text, s) and not _IS_DOT.fullmatch(text, low, s - 1):
+                break
+            s = low
         e = _CHUNK.match(text, m.start()).end()
-        while more := _MORE.match(text, e) or (_WORD.match(text, e) if text[e - 1] in "@])" else None):
+        while more := _MORE.match(text, e) or (_WORD.match(text, e) if text[e - 1] in "@])}" else None):
             e = more.end()
         yield s, e
         done = e
@@ -106,9 +117,9 @@ def span_features(toks: list[str], i: int, j: int) -> list[str]:
     numbers = [t for t in own if t[0].isdigit()]
     digits = "".join(numbers)
     words = [t for t in own if t[0].isalpha()]
-    ats = body.count("@") + body.count("[at]") + body.count("(at)")
-    after = re.split(r"@|\[at\]|\(at\)", body)[-1]
-    dots = len(re.findall(r"[^\W_]\s?(?:\.|\[dot\]|\(dot\))\s?[^\W_]", after))
+    parts = _ATS.split(body)
+    ats, dots = len(parts) - 1, len(_DOTS.findall(parts[-1]))
+    joined = _BARE_DOT.sub(".", "@".join(parts)) if ats else body
     left, right = toks[i - 1] if i else " ", toks[j] if j < len(toks) else " "
     marks = {t for t in own if not t[0].isalnum()}
     out = [
@@ -118,7 +129,7 @@ def span_features(toks: list[str], i: int, j: int) -> list[str]:
         f"words{min(len(words), 3)}",
         f"ats{min(ats, 2)}{min(dots, 2)}",
         f"spaces{min(body.count(' '), 4)}{bool(ats)}",
-        f"gap{bool(re.search(r'[^_0-9\W] [^_0-9\W]', body))}{bool(ats)}",
+        f"gap{bool(re.search(r'[^_0-9\W] [^_0-9\W]', joined))}{bool(ats)}",
         f"whole{min(ats, 2)}{bool(dots)}{own[0].isalnum()}{left.isspace()}{right.isspace()}",
         f"first{own[0] if not own[0].isalnum() else 'd' if own[0].isdigit() else 'w'}",
         f"last{own[-1] if not own[-1].isalnum() else 'd' if own[-1].isdigit() else 'w'}",
@@ -151,7 +162,7 @@ def candidates(toks: list[str], closed: list[bool] | None = None, first: int = 0
             last = toks[j - 1]
             if closed and closed[j - 1]:
                 break
-            hot = hot or last[0].isdigit() or last == "@" or last == "at"
+            hot = hot or last[0].isdigit() or last == "@" or last.lower() == "at"
             if hot and not last.isspace():
                 out.append((i, j))
     return out
@@ -169,8 +180,9 @@ def _made_up(rng: random.Random) -> tuple[str, list[Span]]:
     def entity() -> tuple[str, str]:
         kind = rng.choice(KINDS)
         if kind == "email":
-            at, dot = rng.choice([("@", "."), ("@", "."), ("[at]", "."), ("(at)", "."), (" [at] ", "."), (" (at) ", "."), (" @ ", "."), (" [at] ", "[dot]")])
-            return kind, word() + rng.choice([".", "_", ""]) + rng.choice([num(2), word()]) + at + word() + rng.choice(["", num(1)]) + dot + rng.choice([word(), "example"]) + dot + rng.choice(["com", "org", "net"])
+            at, dot = rng.choice([("@", "."), ("@", "."), ("[at]", "."), ("(at)", "."), (" [at] ", "."), (" (at) ", "."), (" @ ", "."), (" [at] ", "[dot]"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("{at}", "{dot}"), (" at ", " dot "), (" at ", " dot ")])
+            at, dot = rng.choice([(at, dot), (at, dot), (at.upper(), dot.upper())])
+            return kind, word() + rng.choice([".", "_", "", dot]) + rng.choice([num(2), word()]) + at + word() + rng.choice(["", num(1)]) + dot + rng.choice(["", rng.choice([word(), "example"]) + dot]) + rng.choice(["com", "org", "net"])
         if kind == "ip":
             return kind, ".".join(str(rng.randint(0, 255)) for _ in range(4))
         if kind == "card":
@@ -184,6 +196,7 @@ def _made_up(rng: random.Random) -> tuple[str, list[Span]]:
             f"20{num(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", f"{rng.randint(0, 23)}:{rng.randint(10, 59)}", f"{num(rng.randint(1, 6))}", f"{rng.randint(1, 99)}.{num(2)}",
             f"{rng.randint(0, 9)}.{rng.randint(0, 30)}.{rng.randint(0, 9)}", f"password={num(1)}a{num(2)}ce{num(5)}f{num(4)}b{num(2)}", f'token = "{num(2)}e{num(6)}bc{num(7)}a{num(3)}"', f"{num(rng.randint(17, 24))}",
             f"{word()}{num(2)}", f"v{num(1)}.{num(1)}", f"({num(4)})", f"{num(2)}-{num(2)}", f"@{word()}", f"{num(3)},{num(3)}", f"{num(1)}.{num(3)}.{num(1)}.{rng.randint(300, 999)}", f"{num(12)}", f"{word()}-{num(3)}/{num(4)}", f"{rng.randint(256, 999)}.{num(3)}.{num(3)}.{num(4)}",
+            f"{word()} at {rng.randint(1, 12)}:{num(2)}", f"{num(2)} at {word()}",
         ])
 
     text, spans = "", []
@@ -345,7 +358,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row per row of `docs`.
 
     Base spans are the patterns' checked matches. The model segments each stretch around a digit, an @ or a written
-    (at) that base spans don't cover, and adds entities of at most MOST_TOKENS tokens; base spans stay as they are.
+    at that base spans don't cover, and adds entities of at most MOST_TOKENS tokens; base spans stay as they are.
     Offsets are code points. Null text counts as empty, which has no spans; null ids, rows that repeat an id and an
     empty table need nothing special; other columns are never read.
     """

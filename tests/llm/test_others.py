@@ -212,6 +212,15 @@ def test_decoding_is_exact():
         assert sum(max(model.scores(toks, [(i, j)])[0]) for _, i, j in found) == pytest.approx(best)
 
 
+def test_spelled_out_mail():
+    model = pii.train()
+    for mail in ("jane.doe [at] mail [dot] example [dot] com", "jane.doe [AT] example.com", "kim (AT) mail.example.org", "jane at example dot com", "jane{at}example{dot}com", "jane {at} example.org", "jane [dot] doe [at] example [dot] org"):
+        text = f"write to {mail}"
+        assert pii.all_spans(text, model) == ([], [("email", 9, len(text))]), text
+    for text in ("look at 5 of them", "we at 10:30 met", "met at home", "the 5 of us at home"):
+        assert pii.all_spans(text, model)[1] == [], text
+
+
 def test_stretches_are_not_cut(monkeypatch):
     """Long lists and long runs without white space against one decoding of the whole text."""
     model = pii.train()
