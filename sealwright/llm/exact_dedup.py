@@ -29,6 +29,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     return salted.groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """(d, keep_id, group_size): one row per digest. Two texts of one digest are two groups, and stop the run."""
+    by_digest = groups(docs, id_col, text_col, salts).groupBy(F.col("digest").alias("d"))
+    found = by_digest.agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    checked = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts have one SHA-256 digest"))).otherwise(F.col("keep_id"))
+    return found.select("d", checked.alias("keep_id"), "group_size")
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per row of `docs`: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -36,21 +44,25 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     null ids only has a null keep_id and stays); rows that repeat an id stay or go together; an empty table gives
     an empty result. Other columns of `docs` are never read, so their names can't clash.
     """
-    found = groups(docs, id_col, text_col, salts)
-    # Two texts of one digest have stayed two groups, so a digest of one group tells the text; a collision stops the run.
-    by_digest = found.groupBy(F.col("digest").alias("d")).agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    found = _texts(docs, id_col, text_col, salts)
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("content")).select("id", F.sha2("content", 256).alias("digest"))
-    known = rows.join(by_digest, rows.digest == by_digest.d).select("id", "digest", "texts", "keep_id", "group_size")
-    checked = known.select(
-        "id", "digest", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts have one SHA-256 digest"))).otherwise(F.col("keep_id")).alias("keep_id"), "group_size"
-    )
-    return checked.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    known = rows.join(found, rows.digest == found.d)
+    return known.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """`docs` without the copies, all columns kept; the cases are defined as in assign()."""
-    drop = assign(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias("__drop")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    """One row of `docs` per distinct text, all columns kept: the one of the id that assign() keeps.
+
+    Rows are told by digest and id together, so an id that several texts share stays with those it is the least of,
+    and a copy of null id goes. Of rows that repeat both text and id any one stays.
+    """
+    # null ids are a key of their own; plain equality lets the last step use the join's order and places
+    key = lambda x: [F.coalesce(x.cast("string"), F.lit("")), x.isNull()]
+    names = ["__digest", "__id", "__none"]
+    found = _texts(docs, id_col, text_col, salts).select(*(c.alias(n) for c, n in zip([F.col("d"), *key(F.col("keep_id"))], names, strict=True)))
+    own = [F.sha2(normalised(F.col(text_col)), 256), *key(F.col(id_col))]
+    rows = docs.withColumns(dict(zip(names, own, strict=True)))
+    return rows.join(found, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

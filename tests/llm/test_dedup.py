@@ -39,6 +39,16 @@ def test_exact_odd_rows(spark, no_docs):
     assert got == [(0, 0, 1, True), (0, 5, 4, False), (0, 5, 4, False), (5, 5, 4, True), (5, 5, 4, True)]
 
 
+def test_exact_keeps_one_row_a_text(spark, no_docs):
+    odd = [(None, "a"), (None, "a"), (5, "a"), (5, "a"), (None, "b"), (None, "b "), (None, "b\n"), (7, None), (0, "c"), (None, "c"), (0, "c")]
+    got = exact_dedup.dedup(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got if (r.text or "")[:1] != "b") == [(0, "c"), (5, "a"), (7, "")]
+    assert sorted(r.text for r in got if (r.text or "")[:1] == "b") in (["b", "b "], ["b", "b\n"])
+    shared = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.dedup(shared).collect())) == [(1, "a"), (2, "b")]
+    assert exact_dedup.dedup(no_docs).collect() == []
+
+
 def shingles(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
