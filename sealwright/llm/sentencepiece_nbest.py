@@ -259,10 +259,10 @@ def _encode(model, n: int, batches):
         codec.learn(units)
         for text, own in zip(texts, units, strict=True):
             found = codec.choose(own, n)
-            ids.append(found[0][1])
+            ids.append([i for _, i in found])
             scores.append([s for s, _ in found])
-            same.append(codec.decode(found[0][1]) == text)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())], ["id", "ids", "scores", "restored"])
+            same.append(all(codec.decode(i) == text for _, i in found))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.binary())), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())], ["id", "nbest_ids", "scores", "restored"])
 
 
 def _decode(model, batches):
@@ -272,14 +272,15 @@ def _decode(model, batches):
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n: int = NBEST) -> DataFrame:
-    """(id_col, ids, scores, restored): little-endian int32 ids of the best segmentation, the n best scores in order,
-    and whether decoding the ids gives the text back.
+    """(id_col, ids, nbest_ids, scores, restored): little-endian int32 ids of the best segmentation and of the n best
+    in order, their scores, and whether decoding each of them gives the text back.
 
     Null text counts as empty, which has no ids and the score 0. Rows that repeat an id, null ids and an empty table
     are encoded like any; other columns are never read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_texts(rows, partial(_encode, load(model), n), "id long, ids binary, scores array<double>, restored boolean").withColumnRenamed("id", id_col)
+    coded = map_texts(rows, partial(_encode, load(model), n), "id long, nbest_ids array<binary>, scores array<double>, restored boolean")
+    return coded.select(F.col("id").alias(id_col), F.col("nbest_ids")[0].alias("ids"), "nbest_ids", "scores", "restored")
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -289,8 +290,9 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, best_score, nbest_scores, restored): digest columns of encode()'s result."""
-    return coded.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.col("scores")[0].alias("best_score"), F.array_join(F.transform("scores", lambda s: s.cast("decimal(20,3)").cast("string")), ",").alias("nbest_scores"), "restored")
+    """(id_col, n_tokens, ids_sha256, best_score, nbest_scores, restored, nbest_sha256): digest columns of encode()'s
+    result; those of the n best are joined by commas, in order."""
+    return coded.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.col("scores")[0].alias("best_score"), F.array_join(F.transform("scores", lambda s: s.cast("decimal(20,3)").cast("string")), ",").alias("nbest_scores"), "restored", F.array_join(F.transform("nbest_ids", lambda i: F.sha2(i, 256)), ",").alias("nbest_sha256"))
 
 
 def op5_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,30 @@ def test_encode_and_decode(spark, no_docs):
     assert sentencepiece_nbest.encode(no_docs).collect() == []
 
 
+def test_encode_gives_all_segmentations(spark, codec):
+    coded = sentencepiece_nbest.encode(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+    want = {i: codec.encode(t, sentencepiece_nbest.NBEST) for i, t in enumerate(TEXTS)}
+    for r in coded.collect():
+        assert [bytes(x) for x in r.nbest_ids] == [x for _, x in want[r.doc_id]] and bytes(r.ids) == want[r.doc_id][0][1]
+    assert max(map(len, want.values())) == sentencepiece_nbest.NBEST > 1
+    each = coded.select("doc_id", F.explode("nbest_ids").alias("ids"))
+    assert all(r.text == TEXTS[r.doc_id] for r in sentencepiece_nbest.decode(each).collect())
+    for r in sentencepiece_nbest.digests(coded).collect():
+        assert r.nbest_sha256.split(",") == [hashlib.sha256(x).hexdigest() for _, x in want[r.doc_id]]
+
+
+def test_restored_speaks_for_each_segmentation(monkeypatch):
+    import pyarrow as pa
+
+    model = sentencepiece_nbest.load()
+    codec = sentencepiece_nbest._codec(model)
+    wrong = codec.encode("the cat", 3)[2][1]
+    decode = codec.decode
+    monkeypatch.setattr(codec, "decode", lambda ids: "other" if ids == wrong else decode(ids))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["the cat", "to"])], ["id", "text"])
+    assert next(sentencepiece_nbest._encode(model, 3, [batch])).column(3).to_pylist() == [False, True]
+
+
 CONTRACT = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
