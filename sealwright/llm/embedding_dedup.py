@@ -209,14 +209,20 @@ def _brute(ids: np.ndarray, queries: np.ndarray, least: float, batches):
 
 
 def audit(rows: DataFrame, pairs: DataFrame, least: float = LEAST_COSINE, n: int = AUDIT_QUERIES) -> float:
-    """Recall of the links of n queries (those of smallest hash) against a comparison of them with all rows."""
+    """Recall of the links of n queries (those of smallest hash) against a comparison of them with all rows: the lower
+    of that of all links and of the mean over the queries with links, so that a few queries of many links hide nothing.
+    """
     asked = rows.select("rid", "embedding").orderBy(F.xxhash64("rid", F.lit("audit"))).limit(n).collect()
     if not asked:
         return 1.0
     ids, queries = np.array([r[0] for r in asked], np.int64), _stack(r[1] for r in asked)
     true = map_texts(rows.select("rid", "embedding"), partial(_brute, ids, queries, least), "a long, b long").distinct()
-    total, got = true.join(pairs.where("link").select("a", "b", F.lit(1).alias("got")), ["a", "b"], "left").agg(F.count(F.lit(1)), F.count("got")).first()
-    return got / total if total else 1.0
+    told = true.join(pairs.where("link").select("a", "b", F.lit(1).alias("got")), ["a", "b"], "left")
+    asked_ids = F.array(*[F.lit(int(i)) for i in ids])
+    ends = told.select(F.explode(F.array("a", "b")).alias("query"), "got").where(F.array_contains(asked_ids, F.col("query")))
+    each = ends.groupBy("query").agg(F.count(F.lit(1)).alias("total"), F.count("got").alias("got"))
+    total, got, mean = each.agg(F.sum("total"), F.sum("got"), F.avg(F.col("got") / F.col("total"))).first()
+    return min(got / total, mean) if total else 1.0
 
 
 def _pairs(rows: DataFrame, at: np.ndarray, overlap: int, least: float) -> DataFrame:
@@ -238,7 +244,7 @@ def assign(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     Rows with the same vector are one node and linked with each other. Nodes are searched in overlapping clusters'
     graphs; each link found is verified in double precision. An audit compares a few queries with all rows and doubles
-    the overlap until its recall is LEAST_RECALL or the overlap MOST_OVERLAP. Vectors of several lengths are searched
+    the overlap until its recall is LEAST_RECALL; below that at MOST_OVERLAP the run stops with the figure. Vectors of several lengths are searched
     apart. Rows whose vector is null, zero or holds null or non-finite components are linked with nothing, as are
     rows of null id (component null, kept). Rows that repeat an id are nodes of that id. An empty table gives an
     empty one; other columns are never read.
@@ -252,8 +258,10 @@ def assign(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         overlap = OVERLAP
         while True:
             found = _pairs(own, at, overlap, least)
-            if overlap >= MOST_OVERLAP or audit(own, found, least) >= LEAST_RECALL:
+            if (recall := audit(own, found, least)) >= LEAST_RECALL:
                 break
+            if overlap >= MOST_OVERLAP:
+                raise RuntimeError(f"recall of links is {recall:.3f} at overlap {overlap}, below {LEAST_RECALL}")
             overlap *= 2
         pairs = found if pairs is None else pairs.union(found)
     if pairs is None:

@@ -331,6 +331,18 @@ def test_embeddings(spark):
     assert embedding_dedup.assign(df.limit(0)).collect() == []
 
 
+def test_recall_floor_is_held(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    big, small = rng.normal(size=8), rng.normal(size=(20, 8))
+    own = [big + rng.normal(size=8) * 0.01 for _ in range(60)] + [v + rng.normal(size=8) * 0.01 for v in small for _ in range(2)]
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(own)], "rid long, embedding array<double>")
+    lost = spark.createDataFrame([(a, b, True) for a, b in itertools.combinations(range(60), 2)], "a long, b long, link boolean")
+    assert embedding_dedup.audit(rows, lost) < 0.8  # the small groups' links are 20 of 1,790
+    monkeypatch.setattr(embedding_dedup, "_pairs", lambda *_: lost)
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_dedup.assign(rows, "rid")
+
+
 def test_graph_recall():
     """Greedy and range search over the pruned graph of one shard finds nearly all that brute force finds."""
     rng = np.random.default_rng(3)
