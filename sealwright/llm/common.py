@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..storage import cut, forget, new_path, workspace  # noqa: F401
+
 #: ASCII white space as the contracts define it: space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -21,35 +24,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sealwright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sealwright/{name}-{uuid.uuid4().hex}"
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of `df` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write `df` as a table in the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
+#: A key of a HOT-th of all rows or more is hot, so there are HOT of them at most; its rows are dealt to so many places.
+HOT, PLACES = 1000, 64
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the table of cut(); only for frames of which nothing is needed any more."""
-    path = getattr(df, "cut_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def join_dealt(rows: DataFrame, found: DataFrame, key: str, ident: Column, how: str = "inner") -> DataFrame:
+    """rows.join(found, key), where the rows of a hot key are dealt by `ident` to several places.
+
+    `found` is a written table with one row per key and the number `n` of rows that have it. The hot keys, which are
+    HOT at most, are broadcast to the rows, and the rows of `found` that they need are repeated. `n` isn't kept.
+    """
+    total = F.lit(found.agg(F.sum("n").cast("double")).first()[0])
+    hot = F.col("n").cast("double") * HOT >= total
+    named = F.broadcast(found.where(hot).select(F.col(key).alias("__hot")))
+    place = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(ident), F.lit(PLACES)).cast("int")).otherwise(F.lit(0))
+    rows = rows.join(named, F.col(key) == F.col("__hot"), "left").withColumn("__place", place).drop("__hot")
+    places = F.when(hot, F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0)))
+    found = found.withColumn("__place", F.explode(places)).drop("n")
+    return rows.join(found, [key, "__place"], how).drop("__place")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -124,7 +132,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star steps, each an aggregation and a join.
 
     Returns (id, component): the smallest id that is reachable, for every id with an edge to another one. No
-    neighbour list is ever gathered; a hub's edges stay rows. The driver sees two numbers a round.
+    neighbour list is ever gathered; a hub's edges stay rows. The driver sees two numbers a round. The result reads a
+    written table, which forget() deletes.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut(e, "edges")
@@ -144,17 +153,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = state
     out = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return out.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = out.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out.cut_path = e.cut_path
+    return out
+
+
+#: Rows and bytes of the pieces that Arrow batches are handed on in: whole texts travel in them, some of them very long.
+PIECE_ROWS, PIECE_BYTES = 400, 8 << 20
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch, in order, of few rows and bytes; a larger row is a slice of its own."""
+    if batch.num_rows > 1 and (batch.num_rows > PIECE_ROWS or batch.nbytes > PIECE_BYTES):
+        half = batch.num_rows // 2
+        yield from pieces(batch.slice(0, half))
+        yield from pieces(batch.slice(half))
+    else:
+        yield batch
 
 
-#: Rows of an Arrow batch: whole texts travel in them, some of them very long.
-BATCH_ROWS = 400
+def _in_pieces(function, batches):
+    return function(piece for batch in batches for piece in pieces(batch))
 
 
 def map_texts(df: DataFrame, function, schema: StructType | str) -> DataFrame:
-    """mapInArrow in batches of few rows. `function` takes an iterator of record batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    """mapInArrow in small pieces of the batches, whose bytes Spark bounds. `function` takes an iterator of record batches."""
+    return df.mapInArrow(partial(_in_pieces, function), schema)
 
 
 def utf8(text: str | None) -> bytes:

@@ -15,6 +15,8 @@ DIMENSIONS = 1024
 #: Documents with crc32(id as text) mod FOLDS = HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+#: Distinct labels that can be learned: a profile of each travels to the driver and to every task.
+MOST_LANGUAGES = 2000
 #: Distinct trigrams that are expanded to vectors at a time, which bounds a task's memory.
 AT_ONCE = 16_000
 _SHIFT = 21
@@ -130,9 +132,12 @@ def held_out(id_col: str):
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order and their profiles of length 1, learned from all labelled rows that aren't held out.
 
-    Tasks send the DIMENSIONS sums of each language, added up in Spark; the driver gets one vector a language.
+    Tasks send the DIMENSIONS sums of each language, added up in Spark; the driver gets one vector a language. More
+    than MOST_LANGUAGES of them raise an error.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
+    if rows.select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} languages")
     sums = map_texts(rows.select(F.col(lang_col).cast("string"), F.col(text_col)), _learn, "lang string, at int, x double").groupBy("lang", "at").agg(F.sum("x").alias("x"))
     vectors: dict[str, np.ndarray] = {}
     for lang, at, x in sums.collect():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, langid, minhash, mixing, sentencepiece_nbest
-from .common import cut, table
+from .common import cut, forget, table, workspace
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -46,10 +46,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each result is written as Parquet and read again."""
+    """All stages over the documents table; each result is written as Parquet and read again, and what a stage has read
+    or written meanwhile is deleted then."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, name)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with workspace(spark) as kept:
+            done = cut(stage(spark, docs, sf_dir), "stage")
+            kept.append(done.cut_path)
+        forget(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)

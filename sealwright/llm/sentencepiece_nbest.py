@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import insort
+from collections.abc import Iterator
 from functools import partial
-from heapq import heappop, heappush, nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,12 @@ from .common import map_texts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 3
-#: Units of text that a worker remembers; beyond it, it starts anew. It changes speed only.
-REMEMBERED = 400_000
+#: Characters of units that a worker remembers; beyond them, it starts anew. It changes speed only.
+REMEMBERED = 4_000_000
+#: Characters of texts whose units are solved together, unless one text alone has more; it bounds memory.
+TOGETHER = 2_000_000
+#: Units of more characters are solved one by one, by the same search; it changes speed only.
+ONE_BY_ONE = 64
 SPACE = "▁"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,9 +40,14 @@ def load(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
 class Codec:
     """Encodes by the piece lattice: the sum of piece scores is largest; a character that no piece holds is its bytes.
 
+    A backward A* search takes the segmentations out in order of their sums. Its heuristic, the forward Viterbi score
+    of what is left, is exact, so the priority of an entry is the sum of the best segmentation that goes on from it,
+    another one for each entry: of n that are asked for, the n first entries are all that matter, and the queue holds
+    no more, however many sums are equal.
+
     No piece holds a space after another character, nor a line end, so the lattice of a text is a chain of the
-    lattices of its units: spaces with the characters up to the next space, and single line ends. Each unit is solved
-    once; the N best of a text are the N best ways to choose among its units' segmentations.
+    lattices of its units: spaces with the characters up to the next space, and single line ends. Forward scores add
+    up along the chain, and the search goes over it by units, each of which is searched once and remembered.
     """
 
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[int]):
@@ -55,10 +66,17 @@ class Codec:
             if len({h for h, _, _ in own}) != len(own):
                 raise ValueError("two pieces have one hash")
             self.by_size[size] = [np.array(c, t) for c, t in zip(zip(*own, strict=True), (np.uint64, np.int64, float), strict=True)] if own else None
+        widths: dict[str, set[int]] = {}
+        for p in self.pieces:
+            if len(p) > 1:
+                widths.setdefault(p[-2:], set()).add(len(p))
+        #: Lengths of the pieces that end in two given characters.
+        self.widths = {k: tuple(sorted(v)) for k, v in widths.items()}
         # spaces, then others; a literal U+2581 stands alone and is spelled in bytes
         self.unit = re.compile(f"{SPACE}|\n| *[^ \n{SPACE}]+| +")
         self.known: dict[str, tuple[bytes, float, float]] = {}
-        self.lists: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        self.held = 0
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -70,54 +88,73 @@ class Codec:
     def _spell(self, text: str) -> list[int]:
         return [self.byte[b] for b in text.encode("utf-8", "surrogatepass")]
 
-    def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end, (start, score, ids) of the edges that end there."""
-        if unit in (SPACE, "\n"):
-            return [[], [(0, self.fallback, tuple(self._spell(unit)))]]
+    def into(self, text: str, j: int) -> Iterator[tuple[int, float, int]]:
+        """(start, score, id) of the edges that end at j; -1 is a character that is spelled in bytes."""
+        i, s = self.pieces.get(text[j - 1], (-1, self.fallback))
+        yield j - 1, s, i
+        for w in self.widths.get(text[j - 2 : j], ()) if j > 1 else ():
+            if w <= j and (hit := self.pieces.get(text[j - w : j])):
+                yield j - w, hit[1], hit[0]
+
+    def unit_nbest(self, unit: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best (score, ids) of a unit of any length; of equal sums, the one of longer last pieces first."""
+        if unit == SPACE:
+            return [(self.fallback, array("i", self._spell(unit)).tobytes())]
         text = unit.replace(" ", SPACE)
-        out: list[list] = [[] for _ in range(len(text) + 1)]
-        for i in range(len(text)):
-            for j in range(i + 1, min(len(text), i + self.longest) + 1):
-                if hit := self.pieces.get(text[i:j]):
-                    out[j].append((i, hit[1], (hit[0],)))
-                elif j == i + 1:
-                    out[j].append((i, self.fallback, tuple(self._spell(unit[i]))))
+        best = array("d", [0.0])
+        for j in range(1, len(text) + 1):
+            best.append(max(best[i] + s for i, s, _ in self.into(text, j)))
+        # (minus the priority, place, number, score so far, ids from here to the end as a linked list)
+        queue: list[tuple[float, int, int, float, tuple | None]] = [(-best[-1], len(text), 0, 0.0, None)]
+        out, number = [], 0
+        while queue:
+            _, at, _, done, ids = queue.pop(0)
+            room = n - len(out) - 1  # beside the entry that goes down
+            while at:
+                edges = sorted([(-(best[i] + s + done), i, s, piece) for i, s, piece in self.into(text, at)])
+                for rank, i, s, piece in edges[1 : room + 1]:
+                    if len(queue) < room or (rank, i) < queue[-1][:2]:
+                        number += 1
+                        insort(queue, (rank, i, number, s + done, (piece if piece >= 0 else -1 - i, ids)))
+                        del queue[room:]
+                _, at, s, piece = edges[0]
+                done, ids = s + done, (piece if piece >= 0 else -1 - at, ids)
+            out.append((done, self._unlinked(unit, ids)))
+            if len(out) == n:
+                break
         return out
 
-    def unit_nbest(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations: forward Viterbi, then A* from the end, whose heuristic the Viterbi scores are."""
-        edges = self.edges(unit)
-        best = [0.0]
-        for j in range(1, len(edges)):
-            best.append(max(best[i] + s for i, s, _ in edges[j]))
-        heap, out, tick = [(-best[-1], 0, 0, len(edges) - 1, 0.0, ())], [], 0
-        while heap and len(out) < n:
-            _, _, _, at, done, path = heappop(heap)
-            if not at:
-                out.append((done, path))
-                continue
-            for i, s, ids in edges[at]:
-                tick += 1
-                # equal scores: the path of longer last pieces first, as in the forward pass
-                heappush(heap, (-(best[i] + s + done), len(path) + len(ids), tick, i, s + done, ids + path))
-        return out
+    def _unlinked(self, unit: str, ids: tuple | None) -> bytes:
+        flat = array("i")
+        while ids:
+            piece, ids = ids
+            if piece >= 0:
+                flat.append(piece)
+            else:
+                flat.extend(self._spell(unit[-1 - piece]))
+        return flat.tobytes()
 
-    def solve(self, units: list[str]) -> None:
+    def solve(self, units: list[str], n: int = NBEST) -> None:
         """Best ids, their score and the loss of the second best, of units that aren't known yet; all of one length at once."""
         by_size: dict[int, list[str]] = {}
         for u in units:
             by_size.setdefault(len(u), []).append(u)
         for size, own in by_size.items():
-            if size > 64 or size == 1:
+            if size > ONE_BY_ONE or size == 1:
                 for u in own:
-                    two = self.unit_nbest(u, 2)
-                    self.known[u] = (np.array(two[0][1], "<i4").tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf)
+                    found = self.lists[u, n] = self.unit_nbest(u, n)
+                    two = found if n > 1 else self.unit_nbest(u, 2)
+                    self.known[u] = (two[0][1], two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf)
             else:
                 for k in range(0, len(own), 20_000):
                     self._solve(own[k : k + 20_000], size)
 
     def _solve(self, own: list[str], size: int) -> None:
-        """Forward and backward Viterbi of n units of one length; a row of an array is one position of all of them."""
+        """Forward scores of n units of one length, then the first two results of their searches in lockstep.
+
+        A row of an array is one place of all units. Each search goes down along its best entry, whose priority stays
+        the best sum; of the other edges on the way the best priority is the second result's sum.
+        """
         n = len(own)
         points = np.frombuffer("".join(own).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64) + np.uint64(1)
         widest = min(size, self.longest)
@@ -147,24 +184,20 @@ class Codec:
                     better = (s >= ahead[j]) & (s > -np.inf)  # on a tie the longer last piece
                     np.copyto(ahead[j], s, where=better)
                     np.copyto(last[j], w, where=better)
-        behind = np.full((size + 1, n), -np.inf)
-        behind[size] = 0
-        for i in range(size - 1, -1, -1):
-            for w in widths:
-                if w <= size - i:
-                    np.maximum(behind[i], score[w, i] + behind[i + w], out=behind[i])
         at, rows = np.full(n, size), np.arange(n)
+        done, second = np.zeros(n), np.full(n, -np.inf)
         path, width = np.full((n, size), -1, np.int32), np.zeros((n, size), np.int8)
         while len(rows):
-            w = last[at[rows], rows].astype(np.int64)
-            start = at[rows] - w
-            path[rows, start], width[rows, start] = ids[w, start, rows], w
-            score[w, start, rows] = -np.inf  # so that below a second segmentation differs in an edge
-            at[rows] = start
+            here, so_far, beside = at[rows], done[rows], second[rows]
+            down = last[here, rows].astype(np.int64)
+            for w in widths:
+                start = here - w
+                priority = ahead[start, rows] + score[w, start, rows] + so_far  # below 0 a start is another row's, left out
+                np.maximum(beside, priority, out=beside, where=(start >= 0) & (down != w))
+            start = here - down
+            path[rows, start], width[rows, start] = ids[down, start, rows], down
+            second[rows], done[rows], at[rows] = beside, so_far + score[down, start, rows], start
             rows = rows[start > 0]
-        second = np.full(n, -np.inf)
-        for w in widths:
-            np.maximum(second, (ahead[: size - w + 1] + score[w, : size - w + 1] + behind[w:]).max(axis=0), out=second)
         taken = width > 0
         packed, ends = path[taken].astype("<i4").tobytes(), np.cumsum(taken.sum(axis=1)).tolist()
         best, loss, start = ahead[size].tolist(), (ahead[size] - second).tolist(), 0
@@ -180,58 +213,63 @@ class Codec:
     def units(self, text: str) -> list[str]:
         return self.unit.findall(" " + text) if text else []
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def learn(self, texts: list[list[str]], n: int = NBEST) -> None:
         """Solve the units of texts that aren't known; what is known is dropped first where it would be too much."""
         every = {u for units in texts for u in units}
         new = [u for u in every if u not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        size = sum(map(len, new))
+        if self.held and self.held + size > REMEMBERED:
             self.known.clear()
             self.lists.clear()
-            new = list(every)
-        self.solve(new)
+            new, self.held = list(every), 0
+            size = sum(map(len, new))
+        self.held += size
+        self.solve(new, n)
 
     def encode(self, text: str, n: int = NBEST) -> list[tuple[float, bytes]]:
         """The n best (score, ids as little-endian int32) of a text, the best first; '' has one empty segmentation."""
         units = self.units(text)
-        self.learn([units])
+        self.learn([units], n)
         return self.choose(units, n)
 
     def choose(self, units: list[str], n: int) -> list[tuple[float, bytes]]:
-        """The n best of a text whose units are known."""
+        """The n best of a text whose units are known, by the search over the chain of units.
+
+        An entry says which unit has which of its own segmentations; all others have their best. Its priority is the
+        total of the forward scores less what these lose. Going down along an entry changes nothing, so entries are
+        told by what differs alone, and of the units beside the best the n - 1 of least loss fill the queue.
+        """
         if not units:
             return [(0.0, b"")]
         known = self.known
         best_ids, scores, losses = zip(*[known[u] for u in units], strict=True)
         total = sum(scores)
         out = [(total, b"".join(best_ids))]
-        # any other of the n best differs in units whose second best loses least, n - 1 of them at most
-        open_units = [k for k in np.argsort(np.array(losses), kind="stable")[: n - 1].tolist() if losses[k] < np.inf]
+        losses = np.array(losses)
+        near = np.argsort(losses, kind="stable")[: n - 1] if len(losses) < 4 * n else np.flatnonzero(losses <= np.partition(losses, n - 1)[n - 1])
+        open_units = sorted(near.tolist(), key=lambda k: (losses[k], k))[: n - 1]
         choices = []
         for k in open_units:
-            u = units[k]
-            if u not in self.lists or len(self.lists[u]) < n and self.lists[u][-1] is not None:
-                self.lists[u] = self.unit_nbest(u, n)
-                if len(self.lists[u]) < n:
-                    self.lists[u].append(None)
-            choices.append([x for x in self.lists[u] if x is not None][:n])
-        heap = [(0.0, 0, (0,) * len(choices))]
-        seen = 0
-        while heap and len(out) <= n:
-            loss, first, pick = heappop(heap)
-            if seen:
-                ids = list(best_ids)
-                for k, c, p in zip(open_units, choices, pick, strict=True):
-                    if p:
-                        ids[k] = np.array(c[p][1], "<i4").tobytes()
-                out.append((total - loss, b"".join(ids)))
-                if len(out) == n:
-                    break
-            seen += 1
-            for k in range(first, len(choices)):
-                if pick[k] + 1 < len(choices[k]):
-                    step = choices[k][pick[k]][0] - choices[k][pick[k] + 1][0]
-                    heappush(heap, (loss + step, k, (*pick[:k], pick[k] + 1, *pick[k + 1 :])))
-        return out[:n]
+            if losses[k] < np.inf:
+                if (key := (units[k], n)) not in self.lists:
+                    self.lists[key] = self.unit_nbest(*key)
+                choices.append((k, self.lists[key]))
+        # (loss, number, first unit that may still change, choice of each open unit)
+        queue, number = [(c[0][0] - c[1][0], i, i, tuple(int(j == i) for j in range(len(choices)))) for i, (_, c) in enumerate(choices)], len(choices)
+        queue.sort()
+        while queue and len(out) < n:
+            loss, _, first, pick = queue.pop(0)
+            ids = list(best_ids)
+            for (k, c), p in zip(choices, pick, strict=True):
+                ids[k] = c[p][1]
+            out.append((total - loss, b"".join(ids)))
+            for i in range(first, len(choices)):
+                c = choices[i][1]
+                if pick[i] + 1 < len(c):
+                    number += 1
+                    insort(queue, (loss + c[pick[i]][0] - c[pick[i] + 1][0], number, i, (*pick[:i], pick[i] + 1, *pick[i + 1 :])))
+            del queue[n - len(out) :]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text; the space that encoding puts first is taken off."""
@@ -250,18 +288,31 @@ def _codec(model) -> Codec:
     return _CODECS[key]
 
 
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of TOGETHER characters at most; a longer text is a run of its own."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > TOGETHER:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
 def _encode(model, n: int, batches):
     codec = _codec(model)
     for batch in batches:
         ids, scores, same = [], [], []
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        units = [codec.units(t) for t in texts]
-        codec.learn(units)
-        for text, own in zip(texts, units, strict=True):
-            found = codec.choose(own, n)
-            ids.append([i for _, i in found])
-            scores.append([s for s, _ in found])
-            same.append(all(codec.decode(i) == text for _, i in found))
+        for texts in _together([t or "" for t in batch.column(1).to_pylist()]):
+            units = [codec.units(t) for t in texts]
+            codec.learn(units, n)
+            for text, own in zip(texts, units, strict=True):
+                found = codec.choose(own, n)
+                ids.append([i for _, i in found])
+                scores.append([s for s, _ in found])
+                same.append(all(codec.decode(i) == text for _, i in found))
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.binary())), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())], ["id", "nbest_ids", "scores", "restored"])
 
 
