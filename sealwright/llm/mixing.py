@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import columns, cut, table, unused
 
 #: Target weights of sources; every other source has the weight 1. They are relative: the sum of all is the whole.
 WEIGHTS = {"src0": 6.0, "src1": 3.0, "src2": 0.5}
@@ -36,21 +36,20 @@ def _cdf(mean: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", size: float = 1.0) -> DataFrame:
-    """(source, n, rate, parts, cdf): each source's rows and mean number of copies of a row.
+    """(source, n, rate, parts, cdf), a written table: each source's rows and mean number of copies of a row.
 
     rate = size * rows of all * weight / sum of weights / rows of the source, so the expected result has `size`
     times as many rows, dealt to the sources by weight. A null source is a source of its own.
     """
     weights = WEIGHTS if weights is None else weights
-    n = docs.groupBy(F.col(source_col).alias("__source")).agg(F.count(F.lit(1)).alias("__n"))
     w = F.lit(1.0)
     for name, x in weights.items():
-        w = F.when(F.col("__source") == name, F.lit(float(x))).otherwise(w)
-    n = n.withColumn("__w", w)
-    total, weight = n.agg(F.sum("__n").cast("double"), F.sum("__w")).first()
-    n = n.withColumn("__rate", F.lit(float(size)) * F.lit(total) * F.col("__w") / F.lit(weight) / F.col("__n").cast("double"))
-    n = n.withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART)).cast("int"))
-    return n.select("__source", "__n", "__rate", "__parts", _cdf(F.col("__rate") / F.col("__parts")).alias("__cdf"))
+        w = F.when(F.col("source") == name, F.lit(float(x))).otherwise(w)
+    n = cut(docs.select(F.col(source_col).alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("w", w), "sources")
+    total, weight = n.agg(F.sum("n").cast("double"), F.sum("w")).first()
+    n = n.withColumn("rate", F.lit(float(size)) * F.lit(total) * F.col("w") / F.lit(weight) / F.col("n").cast("double"))
+    n = n.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
+    return n.select("source", "n", "rate", "parts", _cdf(F.col("rate") / F.col("parts")).alias("cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, size: float = 1.0, keep_draw: bool = False) -> DataFrame:
@@ -58,21 +57,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
 
     The count inverts the Poisson distribution at a uniform number hashed from (seed, id): smallest k with
     u < P(X <= k). Rows without id draw from (seed, ''); rows that repeat an id draw alike; sources of weight 0 go;
-    an empty table gives an empty one. keep_draw adds __copy (1..count), __copies and __order, the shuffle key.
+    an empty table gives an empty one. All columns of `docs` stay as they are, whatever their names: our own get names
+    that none of them has. keep_draw adds three as the last ones: copy (1..count), copies, and order, the shuffle key,
+    each named so with two underscores before it, or more where `docs` has such a column.
     """
     r = rates(docs, weights, source_col, size)
     small = r.limit(SOURCES_BROADCAST + 1).count() <= SOURCES_BROADCAST
-    rows = docs.join(F.broadcast(r) if small else r, F.col(source_col).eqNullSafe(F.col("__source")))
+    copy, copies, order, source, parts, cdf, u = unused(docs, "__copy", "__copies", "__order", "__source", "__parts", "__cdf", "__u")
+    r = r.select(F.col("source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
+    rows = docs.join(F.broadcast(r) if small else r, F.col(source_col).eqNullSafe(F.col(source)))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     # u is hashed once a part, not once a step of the distribution
-    one = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: uniform(F.lit(seed), ident, j))
-    rows = rows.withColumn("__u", one)
-    count = F.aggregate(F.col("__u"), F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("__cdf"), lambda c: c <= u)))
-    rows = rows.withColumn("__copies", count).where("__copies > 0")
-    rows = rows.select(*docs.columns, "__copies", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
-    rows = rows.withColumn("__order", F.sha2(F.concat_ws(":", F.lit("order"), F.lit(seed).cast("string"), ident, F.col("__copy").cast("string")), 256))
-    out = rows.orderBy("__order")
-    return out if keep_draw else out.select(*docs.columns)
+    one = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: uniform(F.lit(seed), ident, j))
+    rows = rows.withColumn(u, one)
+    count = F.aggregate(F.col(u), F.lit(0), lambda acc, x: acc + F.size(F.filter(F.col(cdf), lambda c: c <= x)))
+    rows = rows.withColumn(copies, count).where(F.col(copies) > 0)
+    rows = rows.select(*columns(docs), copies, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy))
+    rows = rows.withColumn(order, F.sha2(F.concat_ws(":", F.lit("order"), F.lit(seed).cast("string"), ident, F.col(copy).cast("string")), 256))
+    return rows.orderBy(order).select(*columns(docs), *([copy, copies, order] if keep_draw else []))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
