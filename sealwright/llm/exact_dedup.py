@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, columns, cut, join_dealt, table, unused
 
 #: Salts of one digest group. A group of copies that holds a third of all rows is merged in so many places first.
 SALTS = 32
@@ -42,11 +42,12 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
 
     The smallest id of equal texts stays. Null text counts as empty; null ids sort after all others (a group of
     null ids only has a null keep_id and stays); rows that repeat an id stay or go together; an empty table gives
-    an empty result. Other columns of `docs` are never read, so their names can't clash.
+    an empty result. Other columns of `docs` are never read, so their names can't clash. The rows meet the groups by
+    digest, where those of a hot group are dealt to several places.
     """
-    found = _texts(docs, id_col, text_col, salts)
+    found = cut(_texts(docs, id_col, text_col, salts), "texts").select(F.col("d").alias("digest"), "keep_id", "group_size", F.col("group_size").alias("n"))
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("content")).select("id", F.sha2("content", 256).alias("digest"))
-    known = rows.join(found, rows.digest == found.d)
+    known = join_dealt(rows, found, "digest", F.col("id"))
     return known.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
@@ -54,15 +55,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts
     """One row of `docs` per distinct text, all columns kept: the one of the id that assign() keeps.
 
     Rows are told by digest and id together, so an id that several texts share stays with those it is the least of,
-    and a copy of null id goes. Of rows that repeat both text and id any one stays.
+    and a copy of null id goes. Of rows that repeat both text and id any one stays. Columns of any name stay as they
+    are: our own keys get names that none of them has.
     """
     # null ids are a key of their own; plain equality lets the last step use the join's order and places
     key = lambda x: [F.coalesce(x.cast("string"), F.lit("")), x.isNull()]
-    names = ["__digest", "__id", "__none"]
+    names = unused(docs, "__digest", "__id", "__none")
     found = _texts(docs, id_col, text_col, salts).select(*(c.alias(n) for c, n in zip([F.col("d"), *key(F.col("keep_id"))], names, strict=True)))
     own = [F.sha2(normalised(F.col(text_col)), 256), *key(F.col(id_col))]
     rows = docs.withColumns(dict(zip(names, own, strict=True)))
-    return rows.join(found, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    return rows.join(found, names, "left_semi").dropDuplicates(names).select(*columns(docs))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
