@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, join_dealt, table
 
 #: A chunk ends after a line where the rolling hash over this line and the one before is 0 modulo DIVISOR.
 DIVISOR = 3
@@ -62,9 +62,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each = rows.where("id IS NOT NULL").select("id", F.posexplode_outer("chunks").alias("at", "chunk")).where(_lines(F.col("chunk")) >= MIN_LINES)
     key = (F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("at")).cast("decimal(38,0)")
     each = each.select("id", "at", "chunk", F.sha2("chunk", 256).alias("digest"), key.alias("key"))
-    first = each.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).where(F.col("first") < F.col("last"))
-    first = first.select(F.col("digest").alias("d"), F.when(F.col("lo") == F.col("hi"), F.col("first")).otherwise(F.raise_error(F.lit("two chunks have one SHA-256 digest")).cast("decimal(38,0)")).alias("first"))
-    gone = each.select("id", "at", "digest", "key").join(first, F.col("digest") == F.col("d")).where("key > first")
+    first = each.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min("chunk").alias("lo"), F.max("chunk").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("first") < F.col("last"))
+    same = F.when(F.col("lo") == F.col("hi"), F.col("first")).otherwise(F.raise_error(F.lit("two chunks have one SHA-256 digest")).cast("decimal(38,0)"))
+    first = cut(first.select("digest", same.alias("first"), "n"), "repeated")
+    gone = join_dealt(each.select("id", "at", "digest", "key"), first, "digest", F.col("id")).where("key > first")
     gone = gone.groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("at").alias("gone"))
     out = rows.join(gone, F.col("id") == F.col("gone_id"), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.coalesce("gone", F.array().cast("array<int>")))
