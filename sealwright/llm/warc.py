@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, new_path, table, utf8
+from .common import cut, forget, join_dealt, map_texts, new_path, table, utf8
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
@@ -102,13 +102,16 @@ def write(pages: DataFrame, base: str, least: int = LEAST_BYTES) -> DataFrame:
     pages has page_id, url and html. Of records with equal payloads of `least` bytes or more, that of the largest
     page_id is the response and the others revisit it. Null html is an empty payload and null url an empty target;
     records of null page_id revisit like any, and are responses where no other has their payload; rows that repeat a
-    page_id with its payload are responses alike; no rows make no archive. Other columns are never read.
+    page_id with its payload are responses alike; no rows make no archive. Other columns are never read. Records of a
+    very common payload are dealt to several tasks.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("key", F.sha2("html", 256))
-    first = rows.where(F.octet_length("html") >= least).groupBy(F.col("key").alias("k")).agg(F.max("page_id").alias("response"))
-    rows = rows.join(first, F.col("key") == F.col("k"), "left")
+    first = cut(rows.where(F.octet_length("html") >= least).groupBy("key").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")), "responses")
+    rows = join_dealt(rows, first, "key", F.xxhash64("page_id", "url"), "left")
     refers = F.when(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    return cut(map_texts(rows.select("page_id", "url", "html", refers.alias("refers_to")), partial(_write, base), INDEX), "warc-index")
+    out = cut(map_texts(rows.select("page_id", "url", "html", refers.alias("refers_to")), partial(_write, base), INDEX), "warc-index")
+    forget(first)
+    return out
 
 
 def _ranges(rows):
