@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, cut, gram_hashes, map_texts, sliding_min, table, utf8
+from .common import Words, cut, forget, gram_hashes, join_dealt, map_texts, sliding_min, table, utf8
 
 #: Words of a window, and of the grams whose smallest hash is the window's minimiser.
 WINDOW, GRAM = 50, 8
 #: A run of windows that share a minimiser is split after so many windows, as text may repeat itself without end.
 MOST_WINDOWS = 64
-#: Buckets of more distinct super-k-mers are split into single windows, dealt by their content.
-MOST_IN_BUCKET = 4096
+#: A task sorts buckets of so many distinct super-k-mers and bytes of them. Larger ones are sorted by all tasks: their
+#: windows, dealt by content.
+MOST_IN_BUCKET, MOST_BYTES = 4096, 2 << 20
 
 
 def runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,13 +161,15 @@ def repeated(docs: DataFrame) -> DataFrame:
     wanted = minis.join(shared, "mini", "left_semi").groupBy(F.col("id").alias("wid")).agg(F.collect_set("mini").alias("minis"))
     found = docs.join(wanted, F.col("id") == F.col("wid")).select("id", "text", "minis")
     kmers = cut(map_texts(found, _super_kmers, "digest binary, mini long, id long, first int, n int, packed binary"), "superkmers")
+    forget(minis)
     # equal super-k-mers are one row: the content is a grouping key beside its digest
-    distinct = cut(kmers.groupBy("digest", "mini", "packed").agg(F.min("id").alias("low")), "distinct")
-    sizes = distinct.groupBy("mini").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    sized = distinct.join(sizes, "mini")
-    bucket = sized.where(F.col("rows") <= MOST_IN_BUCKET).select("mini", "digest", "low", "packed").repartition("mini").sortWithinPartitions("mini")
+    distinct = cut(kmers.groupBy("digest", "mini", "packed").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("holders")), "distinct")
+    sizes = distinct.groupBy("mini").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("packed")).alias("bytes")).where("n > 1")
+    sizes = cut(sizes.withColumn("fits", (F.col("n") <= MOST_IN_BUCKET) & (F.col("bytes") <= MOST_BYTES)), "buckets")
+    sized = join_dealt(distinct.select("digest", "mini", "packed", "low"), sizes, "mini", F.col("digest"))
+    bucket = sized.where("fits").select("mini", "digest", "low", "packed").repartition("mini").sortWithinPartitions("mini")
     cold = bucket.mapInArrow(_buckets, "digest binary, found array<int>")
-    large = sized.where(F.col("rows") > MOST_IN_BUCKET).select("digest", "low", "packed")
+    large = sized.where("NOT fits").select("digest", "low", "packed")
     hashes = large.mapInArrow(_single_hashes, "digest binary, low long, at int, hash long")
     twice = hashes.groupBy("hash").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).where("lo < hi").select("hash")
     ats = hashes.join(twice, "hash", "left_semi").groupBy(F.col("digest").alias("d")).agg(F.collect_list("at").alias("ats"))
@@ -174,10 +177,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     least = single.groupBy(F.col("window").alias("w")).agg(F.min("low").alias("least"))
     hot = single.join(least, F.col("window") == F.col("w")).where("low > least").groupBy("digest").agg(F.collect_list("at").alias("found"))
     told = cold.union(hot).select(F.col("digest").alias("td"), "found")
-    known = distinct.select("digest", "low").join(told, F.col("digest") == F.col("td"), "left").select(F.col("digest").alias("kd"), "low", "found")
-    spans = kmers.select("digest", "id", "first", "n").join(known, F.col("digest") == F.col("kd")).where("id > low OR found IS NOT NULL")
+    known = cut(distinct.select("digest", "low", F.col("holders").alias("n")).join(told, F.col("digest") == F.col("td"), "left").select("digest", "low", "found", "n"), "known")
+    forget(distinct, sizes)
+    spans = join_dealt(kmers.select("digest", "id", "first", F.col("n").alias("windows")), known, "digest", F.col("id")).where("id > low OR found IS NOT NULL")
     window = lambda a, b: F.struct(a.alias("first"), b.alias("past"))
-    ranges = F.when(F.col("id") > F.col("low"), F.array(window(F.col("first"), F.col("first") + F.col("n") + WINDOW - 1))).otherwise(
+    ranges = F.when(F.col("id") > F.col("low"), F.array(window(F.col("first"), F.col("first") + F.col("windows") + WINDOW - 1))).otherwise(
         F.transform("found", lambda at: window(F.col("first") + at, F.col("first") + at + WINDOW))
     )
     return spans.groupBy(F.col("id").alias("rid")).agg(F.flatten(F.collect_list(ranges)).alias("ranges"))
@@ -189,7 +193,8 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Consecutive windows that share a minimiser travel as one string of words, a super-k-mer, to the minimiser's
     bucket, where sorting finds equal windows exactly. Minimisers of one document alone travel only as numbers. Equal
     super-k-mers are merged before they meet in a bucket, so a group of copies is one row there. Buckets that are
-    still large are dealt on as single windows by content, those first that share a hash with an earlier document.
+    still too large for a task are sorted as single windows by all tasks, by content, after those whose hash no other
+    document has are left out; the windows found are the same.
     Null text counts as empty; rows of null id keep all words; rows that repeat an id must repeat its text; texts of
     fewer than 50 words stay whole; an empty table gives an empty one; other columns are never read.
     """
