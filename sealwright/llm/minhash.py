@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, gram_hashes, map_texts, mix64, table, utf8
+from .common import Words, components, cut, forget, gram_hashes, join_dealt, map_texts, mix64, table, unused, utf8
 
 WORDS, PERCENT = 5, 75
 #: A pair at similarity 0.75 shares a band of 4 samples with chance 0.316, and none of 32 bands with chance 5e-6.
@@ -26,6 +26,9 @@ LEAST_ESTIMATE = 0.44
 SET_WORDS = 64
 #: Rounds in which a document meets one member of each bucket, another in every bucket and round.
 ROUNDS = 2
+#: A bucket is compared pair by pair while its members have so many members of other components on average; documents in
+#: larger ones meet over their rarest shingles instead. Members of a group are dealt to places of so many.
+FEW, DEAL = 64, 10_000
 #: At most so many ids are broadcast to pick the texts to compare; more are joined by shuffle.
 IDS_BROADCAST = 500_000
 
@@ -103,6 +106,12 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.binary())], ["id", "shingles"])
 
 
+def _rarest(batches):
+    for batch in batches:
+        found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "n", "shingles"])
+
+
 def _compare(batches):
     """Keeps the pairs with 100 * |intersection| >= 75 * |union| of their full sets."""
     for batch in batches:
@@ -134,14 +143,70 @@ def _possible() -> Column:
     return F.lit(100 + PERCENT) * m <= F.lit(100 - PERCENT) * (F.col("p") + F.col("q"))
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the ids in the written table (needed)."""
+    small = ids.count() <= IDS_BROADCAST
+    return docs.join(F.broadcast(ids) if small else ids, F.col("id") == F.col("needed"), "left_semi").select("id", "text")
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those that hold on full sets. Sets are made again of the texts that some pair names."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct(), "needed")
-    small = ids.count() <= IDS_BROADCAST
-    sets = map_texts(docs.join(F.broadcast(ids) if small else ids, F.col("id") == F.col("needed"), "left_semi").select("id", "text"), _sets, "id long, shingles binary")
+    sets = map_texts(_texts_of(docs, ids), _sets, "id long, shingles binary")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long"), "links")
+    out = cut(both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long"), "links")
+    forget(ids)
+    return out
+
+
+def _groups(seats: DataFrame) -> DataFrame:
+    """(key, n, lead, cross), a written table: of keys whose seats (key, id, comp, short) hold several components, the
+    number of seats, the largest component, and the pairs of seats of different components, counted both ways."""
+    by = seats.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.bool_or("short").alias("short"))
+    all_ = by.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("comp", F.struct("c", "comp")).alias("lead"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("cross"), F.bool_or("short").alias("short"))
+    return cut(all_.where("cross > 0 AND short").drop("short"), "groups")
+
+
+def _rare_seats(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, id, comp, short): each document of the written table (needed, comp) at its rarest shingles.
+
+    Two sets with |A and B| >= 0.75 |A or B| share one of the |A| - ceil(0.75 |A|) + 1 rarest shingles of the one with one
+    of those of the other, whatever the order of rarity; of the smaller set |A| - ceil(6/7 |A|) + 1 will do (`short`),
+    as 6/7 of it at least are common. Shingles of one document alone are the rarest and need no seat.
+    """
+    found = map_texts(_texts_of(docs, wanted.select("needed")), _rarest, "id long, n long, shingles array<long>")
+    sets = cut(found.withColumn("set", F.xxhash64("shingles")), "sets")  # rows that repeat an id may have several
+    each = sets.select("id", "set", F.explode("shingles").alias("key"))
+    common = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n", F.col("n").alias("often")), "common")
+    own = join_dealt(each, common, "key", F.col("id")).groupBy("id", "set").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("own"))
+    size = own.join(sets.select("id", "set", "n").distinct(), ["id", "set"]).join(wanted.select(F.col("needed").alias("id"), "comp"), "id")
+    long = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    short = F.col("n") - F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)) + 1
+    alone = F.col("n") - F.size("own")
+    size = size.select("id", "comp", alone.alias("alone"), short.alias("least"), F.slice("own", F.lit(1), F.greatest(F.lit(0), long - alone).cast("int")).alias("own"))
+    seats = size.select("id", "comp", "alone", "least", F.posexplode("own").alias("at", "s")).select(F.col("s.key").alias("key"), "id", "comp", (F.col("at") + F.col("alone") < F.col("least")).alias("short"))
+    out = cut(seats.distinct(), "rare")
+    forget(sets, common)
+    return out
+
+
+def _meet(seats: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct likely pairs (a, b) of seats of one key and different components, the smaller set's seat a short one.
+
+    Seats of a key's largest component meet those of the others alone. Seats on one side are dealt to places by id, and
+    those on the other are repeated for each of them.
+    """
+    places = F.ceil(F.col("members") / DEAL).cast("int")
+    known = join_dealt(seats, groups.withColumn("members", F.col("n")), "key", F.col("id")).join(nodes.select("id", F.col("n").alias("size"), "sketch"), "id")
+    led = F.col("comp") == F.col("lead")
+    one = known.where("short").select("key", led.cast("int").alias("of"), F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("p"), F.col("sketch").alias("x"))
+    two = known.select(F.col("key").alias("key_"), F.explode(F.when(led, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("of_"), F.pmod(F.xxhash64("id"), places).cast("int").alias("place_"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("q"), F.col("sketch").alias("y"))
+    smaller = (F.col("p") < F.col("q")) | (F.col("p") == F.col("q")) & (F.col("a") < F.col("b"))
+    near = F.lit(100) * F.col("p") >= F.lit(PERCENT) * F.col("q")
+    same = (F.col("key") == F.col("key_")) & (F.col("of") == F.col("of_")) & (F.col("place") == F.col("place_"))
+    met = one.join(two, same & (F.col("ca") != F.col("cb")) & smaller & near & _likely())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -149,9 +214,14 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     Documents of one set are one class, named by its smallest id. In each of a few rounds every class that isn't yet
     of one component with a member of its buckets, chosen by hash, is compared with those members, and the likeliest
-    pair confirmed; that costs rows in proportion to the seats and joins large groups. Then all pairs of a bucket that
-    are still of different components are compared by their sketches, inside the join, and those that could be links
-    confirmed: no link between components is lost, and pairs inside a component are never listed.
+    pair confirmed; that costs rows in proportion to the seats and joins large groups. Then pairs of a bucket that are
+    still of different components are compared by their sketches, inside the join, and those that could be links
+    confirmed. Where a bucket holds many components, say those of documents with one long passage in common, its
+    documents meet over their rarest shingles instead, which loses no pair: no link between components is lost, and
+    pairs inside a component are never listed.
+
+    Shingles are told by 64-bit hashes. Two of a pair of documents of m shingles each collide with a chance of
+    m^2 / 2^64, which is 5e-14 for a thousand of them.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(map_texts(docs, _sign, "id long, n long, digest binary, bands array<long>, sketch array<long>, whole array<long>"), "signed")
@@ -171,29 +241,45 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         split = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
         return now.join(split, "band", "left_semi")
 
+    def confirmed(likely: DataFrame, best: bool) -> DataFrame | None:
+        """Of likely pairs (a, b), the links among those that could be some; with `best`, of each a the likeliest alone."""
+        one = nodes.select(F.col("id").alias("a"), F.col("n").alias("p"), F.col("whole").alias("v"))
+        two = nodes.select(F.col("id").alias("b"), F.col("n").alias("q"), F.col("whole").alias("w"))
+        close = likely.join(one, "a").join(two, "b").where(_possible())
+        if best:
+            close = close.groupBy("a").agg(F.min_by("b", F.struct(_differ("v", "w"), "b")).alias("b"))
+        pairs = cut(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        out = None if pairs.isEmpty() else _confirm(docs, pairs)
+        forget(pairs)
+        return out
+
+    def add(new: DataFrame) -> None:
+        nonlocal found, comp
+        both = new if found is None else cut(found.union(new), "links")
+        if found is not None:
+            forget(found, new)
+        old, found, comp = comp, both, components(both)
+        forget(old)
+
     for k in range(ROUNDS):
         now = open_seats()
         lead = now.groupBy("band").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("band", "id", F.lit(k))).alias("lead"))
-        met = now.join(lead, "band").where("comp <> lead.comp").select("id", F.col("lead.id").alias("lead")).distinct()
-        one = nodes.select("id", F.col("n").alias("p"), F.col("sketch").alias("x"), F.col("whole").alias("v"))
-        two = nodes.select(F.col("id").alias("lead"), F.col("n").alias("q"), F.col("sketch").alias("y"), F.col("whole").alias("w"))
-        likely = met.join(one.select("id", "x"), "id").join(two.select("lead", "y"), "lead").where(_likely()).select("id", "lead")
-        close = likely.join(one.select("id", "p", "v"), "id").join(two.select("lead", "q", "w"), "lead").where(_possible())
-        best = close.groupBy("id").agg(F.min_by("lead", F.struct(_differ("v", "w"), "lead")).alias("lead"))
-        pairs = cut(best.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
+        met = now.join(lead, "band").where("comp <> lead.comp").select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
+        likely = met.join(nodes.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(nodes.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").where(_likely()).select("a", "b")
+        if (new := confirmed(likely, True)) is None:
             break
-        new = _confirm(docs, pairs)
-        found = new if found is None else cut(found.union(new), "links")
-        comp = components(found)
-    rest = cut(open_seats().join(nodes, "id"), "open")
-    mine = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("p"), F.col("sketch").alias("x"), F.col("whole").alias("v"))
-    other = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("q"), F.col("sketch").alias("y"), F.col("whole").alias("w"))
-    pairs = mine.join(other, (mine.band == other.band) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _likely() & _possible()).select("a", "b").distinct()
-    pairs = cut(pairs, "pairs")
-    if not pairs.isEmpty():
-        last = _confirm(docs, pairs)
-        comp = components(last if found is None else cut(found.union(last), "links"))
+        add(new)
+    rest = cut(open_seats().select(F.col("band").alias("key"), "id", "comp", F.lit(True).alias("short")), "open")
+    groups = _groups(rest)
+    many = F.col("cross") > FEW * F.col("n")
+    wanted = cut(rest.join(groups.where(many).select("key"), "key", "left_semi").select(F.col("id").alias("needed"), "comp").distinct(), "wanted")
+    pairs = _meet(rest, groups.where(~many), nodes)
+    if not wanted.isEmpty():
+        rare = _rare_seats(docs, wanted)
+        pairs = pairs.union(_meet(rare, _groups(rare), nodes)).distinct()
+    if (new := confirmed(pairs, False)) is not None:
+        add(new)
+    forget(rest, groups, wanted, seats, nodes)
     if comp is None:
         return signed.select("id", "n", "digest"), classes.select(F.col("digest").alias("d"), F.col("class").alias("component"))
     of = classes.join(comp, F.col("class") == F.col("id"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "class").alias("component"))
@@ -214,9 +300,10 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each component, the one of smallest id; all columns kept."""
-    drop = assign(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__drop")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    """`docs` with one document of each component, the one of smallest id; all columns kept, whatever their names."""
+    (name,) = unused(docs, "__drop")
+    drop = assign(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(drop, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
