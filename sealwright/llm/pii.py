@@ -189,7 +189,7 @@ def _made_up(rng: random.Random) -> tuple[str, list[Span]]:
             c, s = card(), rng.choice(["", " ", "-", "."])
             return kind, s.join(c[k : k + 4] for k in range(0, 16, 4))
         a, b, c = num(3), num(3), num(4)
-        return kind, rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"+{num(2)} {a} {b} {c}", f"{a}.{b}.{c}", f"+{num(11)}"])
+        return kind, rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"+{num(2)} {a} {b} {c}", f"{a}.{b}.{c}", f"+{num(11)}", f"0{num(2)} {num(7)}", f"0{num(3)}/{num(6)}", f"0{num(2)}-{num(8)}"])
 
     def other() -> str:
         return rng.choice([
@@ -212,8 +212,23 @@ def _made_up(rng: random.Random) -> tuple[str, list[Span]]:
     return text.rstrip(), spans
 
 
+def excluded(own: list[str], features: list[str]) -> list[int]:
+    """Kinds that a candidate can't be, whatever the weights: a card passes Luhn and has no marks but spaces, dots and
+    hyphens, an address of four numbers has them in range, a mail has an at, and a phone number has 7 to 15 digits."""
+    out, digits = [], sum(len(t) for t in own if t[0].isdigit())
+    if "luhnTrue" not in features or any(not t[0].isdigit() and t not in " .-" for t in own):
+        out.append(KINDS.index("card"))
+    if "quadTrue" not in features:
+        out.append(KINDS.index("ip"))
+    if any(f.startswith("ats0") for f in features):
+        out.append(KINDS.index("email"))
+    if not 7 <= digits <= 15:
+        out.append(KINDS.index("phone"))
+    return out
+
+
 class Model:
-    """Weights of each (feature, kind); what no entity covers scores 0."""
+    """Weights of each (feature, kind); what no entity covers scores 0, and an excluded kind minus infinity."""
 
     def __init__(self, names: dict[str, int], weights: np.ndarray):
         self.names, self.weights = names, weights
@@ -221,8 +236,9 @@ class Model:
     def scores(self, toks: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
         out = np.zeros((len(spans), len(KINDS)))
         for k, (i, j) in enumerate(spans):
-            known = [self.names[f] for f in span_features(toks, i, j) if f in self.names]
-            out[k] = self.weights[known].sum(axis=0)
+            features = span_features(toks, i, j)
+            out[k] = self.weights[[self.names[f] for f in features if f in self.names]].sum(axis=0)
+            out[k, excluded(toks[i:j], features)] = -np.inf
         return out
 
     def decode(self, toks: list[str], closed: list[bool] | None = None) -> list[tuple[str, int, int]]:
@@ -255,7 +271,8 @@ def _expected(spans: list[tuple[int, int]], scores: np.ndarray, n: int) -> np.nd
     for k, (i, j) in enumerate(spans):
         ending[j].append(k)
         starting[i].append(k)
-    both = np.logaddexp.reduce(scores, axis=1) if len(spans) else np.empty(0)
+    with np.errstate(invalid="ignore"):
+        both = np.logaddexp.reduce(scores, axis=1) if len(spans) else np.empty(0)
     begin, end = [s[0] for s in spans], [s[1] for s in spans]
     ahead, behind = np.zeros(n + 1), np.zeros(n + 1)
     for j in range(1, n + 1):
@@ -272,7 +289,7 @@ def train(examples: int = EXAMPLES, passes: int = PASSES, seed: int = SEED) -> M
     """Maximum likelihood with a ridge over made-up islands, by full-batch steps of Adagrad; a few seconds on the driver."""
     rng = random.Random(seed)
     names: dict[str, int] = {}
-    data, rows = [], []
+    data, rows, barred = [], [], []
     for _ in range(examples):
         text, gold = _made_up(rng)
         toks = tokens(text)
@@ -281,16 +298,21 @@ def train(examples: int = EXAMPLES, passes: int = PASSES, seed: int = SEED) -> M
         truth = {(a, b): KINDS.index(k) for k, a, b in gold}
         goal = np.zeros((len(spans), len(KINDS)))
         for k, (i, j) in enumerate(spans):
-            rows.append([names.setdefault(f, len(names)) for f in span_features(toks, i, j)])
+            features = span_features(toks, i, j)
+            rows.append([names.setdefault(f, len(names)) for f in features])
+            barred.append(excluded(toks[i:j], features))
             if (kind := truth.get((place[i], place[j]))) is not None:
                 goal[k, kind] = 1
         data.append((spans, goal, len(toks)))
     table_ = np.zeros((len(rows), len(names)), np.float32)
     for k, row in enumerate(rows):
         table_[k, row] = 1
+    bars = np.zeros((len(rows), len(KINDS)))
+    for k, own in enumerate(barred):
+        bars[k, own] = -np.inf
     weights, seen = np.zeros((len(names), len(KINDS))), np.full((len(names), len(KINDS)), 1e-6)
     for _ in range(passes):
-        scores = table_ @ weights
+        scores = table_ @ weights + bars
         lack, at = np.zeros_like(scores), 0
         for spans, goal, n in data:
             if spans:
