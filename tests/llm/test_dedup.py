@@ -1,6 +1,7 @@
 """Exact, near, line and substring dedup against brute force."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -74,6 +75,62 @@ def test_minhash(docs, corpus):
     assert sum(not r.kept for r in got.values()) >= 9
 
 
+def components_of(sets):
+    """Smallest reachable id by brute force over all pairs."""
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        a = sets[i]
+        for j in ids[k + 1 :]:
+            b = sets[j]
+            if 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and 100 * (both := len(a & b)) >= 75 * (len(a) + len(b) - both):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_minhash_with_a_common_passage(spark, monkeypatch, few):
+    """Distinct documents that share most of their text meet over their rarest shingles, and the links among them are found;
+    also if all buckets are too large to be compared pair by pair."""
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "DEAL", 50)
+    rng = random.Random(11)
+    word = lambda: f"u{rng.randrange(10**9)}"
+    passage = [f"p{k}" for k in range(120)]
+    texts = []
+    for share in (30, 50, 80, 100, 104, 106, 110):
+        texts += [passage[:share] + [word() for _ in range(120 - share)] for _ in range(40 if few == 0 else 120)]
+    for k in range(0, len(texts), 9):  # near copies of some
+        texts.append([*texts[k][:-3], word(), word(), word()])
+    rows = [(7 * i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in minhash.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = components_of({i: shingles(t) for i, t in rows})
+    assert got == want and len(set(want.values())) < len(rows) - 20
+
+
+def test_minhash_of_repeated_ids_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FEW", 0)
+    rows = [(1, "a b c d e f g h i j"), (1, "k l m n o p q r s t"), (2, "a b c d e f g h i j x"), (3, "k l m n o p q r s t x")]
+    got = {(r.doc_id, r.component_id) for r in minhash.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_dedups_keep_columns_of_any_name(spark):
+    names = ["__drop", "__digest", "__id", "__none", "__place", "__hot", "a.b"]
+    rows = spark.createDataFrame([(i, "same words in all of these rows" if i % 2 else f"own words of row {i} and of no other", *[f"{c}{i}" for c in names]) for i in range(9)], ["doc_id", "text", *names])
+    for dedup in (exact_dedup.dedup, minhash.dedup):
+        got = dedup(rows)
+        assert got.columns == rows.columns
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in rows.collect() if r.doc_id % 2 == 0 or r.doc_id == 1)
+
+
 def test_minhash_chain(spark):
     """A long chain of near copies, whose ends have little in common, is one component."""
     words = [f"w{i}" for i in range(400)]
@@ -122,10 +179,10 @@ def brute_windows(corpus, k=50):
     return out
 
 
-@pytest.mark.parametrize("most", [4096, 3])
-def test_substring(docs, corpus, monkeypatch, most):
+@pytest.mark.parametrize(("name", "most"), [("MOST_IN_BUCKET", 4096), ("MOST_IN_BUCKET", 3), ("MOST_BYTES", 1000)])
+def test_substring(docs, corpus, monkeypatch, name, most):
     """Also with so small a bound that shared buckets are split into single windows."""
-    monkeypatch.setattr(substring_dedup, "MOST_IN_BUCKET", most)
+    monkeypatch.setattr(substring_dedup, name, most)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.strip(clashing(docs)).collect()}
     want = brute_windows(corpus)
     assert got == want
@@ -178,5 +235,13 @@ def test_lines(spark):
     assert got[None].n_removed == 0
 
 
+def test_lines_of_long_texts(spark):
+    long = "\n".join(f"line {k % 5000} {'y' * (k % 7)}" for k in range(60_000))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame([(1, long), (2, "z" * 3_000_000), (3, long)], "doc_id long, text string")).collect()}
+    chunks = brute_chunks(long)
+    assert got[2].kept == "z" * 3_000_000 and got[1].n_chunks == len(chunks) == got[3].n_chunks
+    assert got[3].n_removed == sum("\n" in c for c in chunks)
+
+
 def test_lines_empty(no_docs):
     assert line_dedup.dedup_lines(no_docs).collect() == []
