@@ -24,8 +24,9 @@ LEAST_ESTIMATE = 0.44
 #: Words of the odd sketch of the whole shingle set. A bit of it differs only where the sets do, so that its count of
 #: differing bits never exceeds the symmetric difference: what it rules out is ruled out for certain.
 SET_WORDS = 64
-#: Rounds in which a document meets one member of each bucket, another in every bucket and round.
-ROUNDS = 2
+#: Rounds in which a document meets one member of each bucket, another in every bucket and round. What they leave open
+#: is compared in full, so their number changes speed only.
+ROUNDS = 1
 #: A bucket is compared pair by pair while its members have so many members of other components on average; documents in
 #: larger ones meet over their rarest shingles instead. Members of a group are dealt to places of so many.
 FEW, DEAL = 64, 10_000
@@ -192,20 +193,20 @@ def _rare_seats(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _meet(seats: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct likely pairs (a, b) of seats of one key and different components, the smaller set's seat a short one.
+    """Distinct pairs (a, b) of seats of one key and different components, the smaller set's seat a short one, whose
+    sketches, compared inside the join, leave room for a link.
 
     Seats of a key's largest component meet those of the others alone. Seats on one side are dealt to places by id, and
     those on the other are repeated for each of them.
     """
     places = F.ceil(F.col("members") / DEAL).cast("int")
-    known = join_dealt(seats, groups.withColumn("members", F.col("n")), "key", F.col("id")).join(nodes.select("id", F.col("n").alias("size"), "sketch"), "id")
+    known = join_dealt(seats, groups.withColumn("members", F.col("n")), "key", F.col("id")).join(nodes.select("id", F.col("n").alias("size"), "sketch", "whole"), "id")
     led = F.col("comp") == F.col("lead")
-    one = known.where("short").select("key", led.cast("int").alias("of"), F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("p"), F.col("sketch").alias("x"))
-    two = known.select(F.col("key").alias("key_"), F.explode(F.when(led, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("of_"), F.pmod(F.xxhash64("id"), places).cast("int").alias("place_"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("q"), F.col("sketch").alias("y"))
+    one = known.where("short").select("key", led.cast("int").alias("of"), F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("p"), F.col("sketch").alias("x"), F.col("whole").alias("v"))
+    two = known.select(F.col("key").alias("key_"), F.explode(F.when(led, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("of_"), F.pmod(F.xxhash64("id"), places).cast("int").alias("place_"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("q"), F.col("sketch").alias("y"), F.col("whole").alias("w"))
     smaller = (F.col("p") < F.col("q")) | (F.col("p") == F.col("q")) & (F.col("a") < F.col("b"))
-    near = F.lit(100) * F.col("p") >= F.lit(PERCENT) * F.col("q")
     same = (F.col("key") == F.col("key_")) & (F.col("of") == F.col("of_")) & (F.col("place") == F.col("place_"))
-    met = one.join(two, same & (F.col("ca") != F.col("cb")) & smaller & near & _likely())
+    met = one.join(two, same & (F.col("ca") != F.col("cb")) & smaller & _likely() & _possible())
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -241,14 +242,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         split = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
         return now.join(split, "band", "left_semi")
 
-    def confirmed(likely: DataFrame, best: bool) -> DataFrame | None:
-        """Of likely pairs (a, b), the links among those that could be some; with `best`, of each a the likeliest alone."""
-        one = nodes.select(F.col("id").alias("a"), F.col("n").alias("p"), F.col("whole").alias("v"))
-        two = nodes.select(F.col("id").alias("b"), F.col("n").alias("q"), F.col("whole").alias("w"))
-        close = likely.join(one, "a").join(two, "b").where(_possible())
-        if best:
-            close = close.groupBy("a").agg(F.min_by("b", F.struct(_differ("v", "w"), "b")).alias("b"))
-        pairs = cut(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    def confirmed(pairs: DataFrame) -> DataFrame | None:
+        """The links among pairs (a, b)."""
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         out = None if pairs.isEmpty() else _confirm(docs, pairs)
         forget(pairs)
         return out
@@ -265,8 +261,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         now = open_seats()
         lead = now.groupBy("band").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("band", "id", F.lit(k))).alias("lead"))
         met = now.join(lead, "band").where("comp <> lead.comp").select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
-        likely = met.join(nodes.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(nodes.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").where(_likely()).select("a", "b")
-        if (new := confirmed(likely, True)) is None:
+        one = nodes.select(F.col("id").alias("a"), F.col("n").alias("p"), F.col("sketch").alias("x"), F.col("whole").alias("v"))
+        two = nodes.select(F.col("id").alias("b"), F.col("n").alias("q"), F.col("sketch").alias("y"), F.col("whole").alias("w"))
+        likely = met.join(one.select("a", "x"), "a").join(two.select("b", "y"), "b").where(_likely()).select("a", "b")
+        close = likely.join(one.select("a", "p", "v"), "a").join(two.select("b", "q", "w"), "b").where(_possible())
+        best = close.groupBy("a").agg(F.min_by("b", F.struct(_differ("v", "w"), "b")).alias("b"))
+        if (new := confirmed(best)) is None:
             break
         add(new)
     rest = cut(open_seats().select(F.col("band").alias("key"), "id", "comp", F.lit(True).alias("short")), "open")
@@ -277,7 +277,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     if not wanted.isEmpty():
         rare = _rare_seats(docs, wanted)
         pairs = pairs.union(_meet(rare, _groups(rare), nodes)).distinct()
-    if (new := confirmed(pairs, False)) is not None:
+    if (new := confirmed(pairs)) is not None:
         add(new)
     forget(rest, groups, wanted, seats, nodes)
     if comp is None:
