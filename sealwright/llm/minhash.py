@@ -27,9 +27,10 @@ SET_WORDS = 64
 #: Rounds in which a document meets one member of each bucket, another in every bucket and round. What they leave open
 #: is compared in full, so their number changes speed only.
 ROUNDS = 1
-#: A bucket is compared pair by pair while its members have so many members of other components on average; documents in
-#: larger ones meet over their rarest shingles instead. Members of a group are dealt to places of so many.
-FEW, DEAL = 64, 10_000
+#: A bucket is compared pair by pair while its members have so many members of other components on average, which bounds
+#: the work of a document; documents in larger ones meet over their rarest shingles instead, and no pair is lost either
+#: way. Members of a group are dealt to places of so many.
+FEW, DEAL = 2000, 1000
 #: At most so many ids are broadcast to pick the texts to compare; more are joined by shuffle.
 IDS_BROADCAST = 500_000
 
@@ -192,22 +193,33 @@ def _rare_seats(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return out
 
 
-def _meet(seats: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of seats of one key and different components, the smaller set's seat a short one, whose
-    sketches, compared inside the join, leave room for a link.
+def _meet(seats: DataFrame, groups: DataFrame, nodes: DataFrame, rare: bool) -> DataFrame:
+    """Pairs (a, b) of seats of one key and different components, the smaller set's seat a short one, whose sketches
+    leave room for a link.
 
     Seats of a key's largest component meet those of the others alone. Seats on one side are dealt to places by id, and
-    those on the other are repeated for each of them.
+    those on the other are repeated for each of them. Sketches are compared inside the join; of `rare` seats, of which
+    a document has many, those of samples there and those of whole sets after it.
     """
     places = F.ceil(F.col("members") / DEAL).cast("int")
-    known = join_dealt(seats, groups.withColumn("members", F.col("n")), "key", F.col("id")).join(nodes.select("id", F.col("n").alias("size"), "sketch", "whole"), "id")
+    sketch = ["sketch"] if rare else ["sketch", "whole"]
+    known = join_dealt(seats, groups.withColumn("members", F.col("n")), "key", F.col("id")).join(nodes.select("id", F.col("n").alias("size"), *sketch), "id")
     led = F.col("comp") == F.col("lead")
-    one = known.where("short").select("key", led.cast("int").alias("of"), F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("p"), F.col("sketch").alias("x"), F.col("whole").alias("v"))
-    two = known.select(F.col("key").alias("key_"), F.explode(F.when(led, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("of_"), F.pmod(F.xxhash64("id"), places).cast("int").alias("place_"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("q"), F.col("sketch").alias("y"), F.col("whole").alias("w"))
+    one = known.where("short").select("key", led.cast("int").alias("of"), F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("p"), *[F.col(c).alias(n) for c, n in zip(sketch, "xv", strict=False)])
+    two = known.select(F.col("key").alias("key_"), F.explode(F.when(led, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("of_"), F.pmod(F.xxhash64("id"), places).cast("int").alias("place_"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("q"), *[F.col(c).alias(n) for c, n in zip(sketch, "yw", strict=False)])
     smaller = (F.col("p") < F.col("q")) | (F.col("p") == F.col("q")) & (F.col("a") < F.col("b"))
     same = (F.col("key") == F.col("key_")) & (F.col("of") == F.col("of_")) & (F.col("place") == F.col("place_"))
-    met = one.join(two, same & (F.col("ca") != F.col("cb")) & smaller & _likely() & _possible())
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = F.lit(100) * F.col("p") >= F.lit(PERCENT) * F.col("q")
+    met = one.join(two, same & (F.col("ca") != F.col("cb")) & smaller & near & _likely() & (F.lit(True) if rare else _possible()))
+    pairs = met.select("a", "b").distinct()
+    return _possible_pairs(pairs, nodes).select("a", "b") if rare else pairs
+
+
+def _possible_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose whole sketches leave room for a link, with these (v, w)."""
+    one = nodes.select(F.col("id").alias("a"), F.col("n").alias("p"), F.col("whole").alias("v"))
+    two = nodes.select(F.col("id").alias("b"), F.col("n").alias("q"), F.col("whole").alias("w"))
+    return pairs.join(one, "a").join(two, "b").where(_possible())
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -261,10 +273,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         now = open_seats()
         lead = now.groupBy("band").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("band", "id", F.lit(k))).alias("lead"))
         met = now.join(lead, "band").where("comp <> lead.comp").select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
-        one = nodes.select(F.col("id").alias("a"), F.col("n").alias("p"), F.col("sketch").alias("x"), F.col("whole").alias("v"))
-        two = nodes.select(F.col("id").alias("b"), F.col("n").alias("q"), F.col("sketch").alias("y"), F.col("whole").alias("w"))
-        likely = met.join(one.select("a", "x"), "a").join(two.select("b", "y"), "b").where(_likely()).select("a", "b")
-        close = likely.join(one.select("a", "p", "v"), "a").join(two.select("b", "q", "w"), "b").where(_possible())
+        one, two = nodes.select(F.col("id").alias("a"), F.col("sketch").alias("x")), nodes.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
+        close = _possible_pairs(met.join(one, "a").join(two, "b").where(_likely()).select("a", "b"), nodes)
         best = close.groupBy("a").agg(F.min_by("b", F.struct(_differ("v", "w"), "b")).alias("b"))
         if (new := confirmed(best)) is None:
             break
@@ -273,10 +283,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     groups = _groups(rest)
     many = F.col("cross") > FEW * F.col("n")
     wanted = cut(rest.join(groups.where(many).select("key"), "key", "left_semi").select(F.col("id").alias("needed"), "comp").distinct(), "wanted")
-    pairs = _meet(rest, groups.where(~many), nodes)
+    pairs = _meet(rest, groups.where(~many), nodes, False)
     if not wanted.isEmpty():
         rare = _rare_seats(docs, wanted)
-        pairs = pairs.union(_meet(rare, _groups(rare), nodes)).distinct()
+        pairs = pairs.union(_meet(rare, _groups(rare), nodes, True))
     if (new := confirmed(pairs)) is not None:
         add(new)
     forget(rest, groups, wanted, seats, nodes)
