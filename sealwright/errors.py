@@ -19,15 +19,43 @@ class InvalidContractError(EngineError):
     code = "INVALID_CONTRACT"
 
 
+class UnsupportedFieldTypeError(InvalidContractError):
+    code = "UNSUPPORTED_FIELD_TYPE"
+
+
+class InvalidConstraintError(InvalidContractError):
+    code = "INVALID_CONSTRAINT"
+
+
+class InvalidPathError(InvalidContractError, ValueError):
+    code = "INVALID_PATH"
+
+
+class InvalidSemanticTagError(InvalidContractError):
+    code = "INVALID_SEMANTIC_TAG"
+
+
 class PlanningError(EngineError):
     code = "PLANNING_ERROR"
 
 
-class CapabilityError(EngineError):
-    code = "CAPABILITY_INVOKE_FAILED"
+class ExecutionError(EngineError):
+    code = "EXECUTION_ERROR"
+
+
+class CapabilityError(ExecutionError):
+    code = "CAPABILITY_ERROR"
+
 
+class InferenceProviderError(CapabilityError):
+    code = "INFERENCE_PROVIDER_ERROR"
 
-class ReconciliationError(EngineError):
+
+class BudgetExceededError(ExecutionError):
+    code = "BUDGET_EXCEEDED"
+
+
+class ReconciliationError(ExecutionError):
     code = "RECONCILIATION_ERROR"
 
 
@@ -43,6 +71,22 @@ class HashMismatchError(ReplayError):
     code = "HASH_MISMATCH"
 
 
+class CapabilityNotFoundError(ReplayError):
+    code = "CAPABILITY_NOT_FOUND"
+
+
+class ConfigurationError(EngineError):
+    code = "CONFIGURATION_ERROR"
+
+
+class InvalidBudgetError(ConfigurationError, ValueError):
+    code = "INVALID_BUDGET"
+
+
+class InvalidPolicyError(ConfigurationError, ValueError):
+    code = "INVALID_POLICY"
+
+
 class MoneyError(EngineError):
     code = "MONEY_ERROR"
 

@@ -21,6 +21,17 @@ def java_pattern(pattern: str) -> str | None:
     return "(?U)" + pattern if re.search(r"\\[dwsbDWSB]", pattern) else pattern
 
 
+#: Text that is a number; Spark alone would take a type suffix ("1.0d") for part of one.
+NUMBER = r"(?i)^[\s\p{Z}]*[+-]?(?:(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf|infinity)[\s\p{Z}]*\z"
+
+
+def number(value: Column) -> Column:
+    """A double of an integer, a double or text that is a number; null of decimals, booleans and all else, which bounds
+    don't know. The type is known when the plan is made, so one branch is left of it."""
+    kind = F.typeof(value)
+    text = F.when(value.cast("string").rlike(NUMBER), value.cast("string").try_cast("double"))
+    return F.when(kind == "string", text).when(kind.isin("tinyint", "smallint", "int", "bigint", "float", "double"), value.cast("string").try_cast("double"))
+
 
 def check(c: Constraint, value: Column, is_text: bool = True) -> Column:
     """Whether `value` (text, a number or an array) passes. Null fails, as nothing can be measured on it.
@@ -36,7 +47,7 @@ def check(c: Constraint, value: Column, is_text: bool = True) -> Column:
         pattern = java_pattern(c["pattern"])
         ok = value.rlike(pattern) if pattern is not None else F.lit(False)
     elif kind in (ConstraintKind.MIN_VALUE, ConstraintKind.MAX_VALUE):
-        x = value.try_cast("double")
+        x = number(value)
         bound = F.lit(float(c["min"] if kind is ConstraintKind.MIN_VALUE else c["max"]))
         ok = F.isnan(x) | (x >= bound if kind is ConstraintKind.MIN_VALUE else x <= bound)
     elif kind is ConstraintKind.ENUM:

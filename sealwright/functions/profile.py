@@ -26,19 +26,23 @@ def decoded(raw: Column) -> Column:
     return F.make_valid_utf8(raw.cast("string"))
 
 
-def is_empty(raw: Column) -> Column:
-    return decoded(raw).rlike(rf"^[{ASCII_SPACE}]*\z")
+def is_empty(raw: Column, text: Column | None = None) -> Column:
+    return _text(raw, text).rlike(rf"^[{ASCII_SPACE}]*\z")
+
+
+def _text(raw: Column, text: Column | None) -> Column:
+    return decoded(raw) if text is None else text
 
 
 def _head(raw: Column, n: int) -> Column:
     return decoded(F.substring(raw, 1, n))
 
 
-def input_type(raw: Column) -> Column:
+def input_type(raw: Column, text: Column | None = None) -> Column:
     """empty, pdf_text, json, email, html, csv or text; the first rule that holds."""
     head = _head(raw, MARK_HEAD)
     trimmed = F.regexp_replace(_head(raw, JSON_HEAD), rf"^[{ASCII_SPACE}]+", "")
-    line = F.regexp_replace(F.substring_index(decoded(raw), "\n", 1), rf"^[{ASCII_SPACE}]+", "")
+    line = F.regexp_replace(F.substring_index(_text(raw, text), "\n", 1), rf"^[{ASCII_SPACE}]+", "")
     commas = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
     return (
         F.when(F.octet_length(raw) == 0, "empty")
@@ -51,19 +55,20 @@ def input_type(raw: Column) -> Column:
     )
 
 
-def density(raw: Column) -> Column:
+def density(raw: Column, text: Column | None = None) -> Column:
     """Share of what isn't white space: bytes of ASCII text, else characters over bytes."""
-    text, size = decoded(raw), F.octet_length(raw)
+    text, size = _text(raw, text), F.octet_length(raw)
     ascii_ = F.length(F.regexp_replace(text, rf"[{ASCII_SPACE}]", ""))
     other = F.length(F.regexp_replace(text, rf"[{ASCII_SPACE}{MORE_SPACE}]", ""))
     return F.when(size == 0, F.lit(0.0)).otherwise(F.when(F.length(text) == size, ascii_).otherwise(other).cast("double") / size.cast("double"))
 
 
-def profile(raw: Column) -> Column:
+def profile(raw: Column, text: Column | None = None) -> Column:
+    """The profile of raw bytes; `text` is the column that holds them decoded, where there is one, so that they are once."""
     return F.struct(
-        input_type(raw).alias("input_type"),
+        input_type(raw, text).alias("input_type"),
         F.octet_length(raw).cast("bigint").alias("size"),
         F.sha2(raw, 256).alias("content_hash"),
-        density(raw).alias("density"),
-        ((F.octet_length(raw) == 0) | is_empty(raw)).alias("is_empty"),
+        density(raw, text).alias("density"),
+        ((F.octet_length(raw) == 0) | is_empty(raw, text)).alias("is_empty"),
     )

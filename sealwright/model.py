@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, replace
 from decimal import Decimal
 from typing import Any
 
-from .errors import InvalidContractError
+from .errors import InvalidContractError, InvalidPathError, InvalidSemanticTagError
 
 PATH = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\[\])?(\.[A-Za-z_][A-Za-z0-9_]*(\[\])?)*")
 CURRENCY = re.compile(r"[A-Z]{3}")
@@ -140,7 +140,7 @@ class Field:
         if not self.id or not self.name or "." in self.name or "[]" in self.name:
             raise ValueError(f"bad field id or name: {self.id!r}, {self.name!r}")
         if not PATH.fullmatch(self.path):
-            raise ValueError(f"bad field path: {self.path!r}")
+            raise InvalidPathError(f"bad field path: {self.path!r}")
         if not 0 <= self.confidence_threshold <= 1:
             raise ValueError("confidence_threshold must lie in [0, 1]")
         if (self.type is FieldType.ENUM) != (self.enum_values is not None):
@@ -198,13 +198,41 @@ class Contract:
                 if f.type not in LEGAL[c.kind]:
                     raise InvalidContractError(f"{c.kind.name} doesn't suit {f.type.name} field {f.path}", "ILLEGAL_CONSTRAINT")
             if normal_tags(f.semantic_tags) != tuple(f.semantic_tags):
-                raise InvalidContractError(f"tags of {f.path} aren't sorted and distinct", "BAD_TAGS")
+                raise InvalidSemanticTagError(f"tags of {f.path} aren't sorted and distinct", "BAD_TAGS")
+
+
+#: Tags that hint at a field's type, and what they hint at (fixed values).
+TYPE_TAGS = {
+    "iso4217": FieldType.STRING,
+    "email": FieldType.STRING,
+    "url": FieldType.STRING,
+    "phone": FieldType.STRING,
+    "date": FieldType.DATE,
+    "datetime": FieldType.DATE,
+}
+#: Tags that hint at planning (fixed values).
+PLANNING_TAGS = (
+    "pii",
+    "currency-sensitive",
+    "high-stakes",
+    "regex-able",
+    "lookup-able",
+)
+
+
+def is_known_tag(tag: str) -> bool:
+    return tag in TYPE_TAGS or tag in PLANNING_TAGS
+
+
+def suggested_type(tags) -> FieldType | None:
+    """What the first tag that hints at a type hints at."""
+    return next((TYPE_TAGS[t] for t in tags if t in TYPE_TAGS), None)
 
 
 def normal_tags(tags) -> tuple[str, ...]:
     for t in tags:
         if not (t.isascii() and t.islower()):
-            raise InvalidContractError(f"tag {t!r} isn't lower-case ASCII", "BAD_TAGS")
+            raise InvalidSemanticTagError(f"tag {t!r} isn't lower-case ASCII", "BAD_TAGS")
     return tuple(sorted(set(tags)))
 
 

@@ -9,7 +9,8 @@ from ..model import CapabilitySpec
 from ..schemas import CANDIDATE, DIAGNOSTIC, EVIDENCE
 
 
-def evidence(spec_id: str, version: str, tier: int, deterministic: bool, field_path: str, start: Column | None = None, end: Column | None = None) -> Column:
+def evidence(spec_id: str, version: str, tier: int, deterministic: bool, field_path: str, start: Column | None = None, end: Column | None = None, model: Column | None = None, used: tuple[Column, Column] | None = None) -> Column:
+    """A reference; `model` and `used` (prompt and completion tokens) are those of an inference."""
     null = F.lit(None).cast("bigint")
     return F.struct(
         F.lit(spec_id).alias("capability_id"),
@@ -19,6 +20,9 @@ def evidence(spec_id: str, version: str, tier: int, deterministic: bool, field_p
         F.lit(field_path).alias("field_path"),
         (null if start is None else start.cast("bigint")).alias("span_start"),
         (null if end is None else end.cast("bigint")).alias("span_end"),
+        (F.lit(None).cast("string") if model is None else model).alias("model_id"),
+        (null if used is None else used[0]).cast("int").alias("prompt_tokens"),
+        (null if used is None else used[1]).cast("int").alias("completion_tokens"),
     ).cast(EVIDENCE)
 
 

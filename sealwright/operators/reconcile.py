@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import enum
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -27,6 +28,23 @@ INJECTION = (
 )
 
 
+class Status(enum.Enum):
+    SUCCESS = "SUCCESS"
+    PARTIAL_SUCCESS = "PARTIAL_SUCCESS"
+    UNRESOLVED = "UNRESOLVED"
+    FAILED = "FAILED"
+
+
+class Band(enum.Enum):
+    """Bands of confidence and where they begin."""
+
+    CERTAIN = 0.95
+    HIGH = 0.80
+    MEDIUM = 0.60
+    LOW = 0.30
+    UNTRUSTED = 0.0
+
+
 def injected(value: Column) -> Column:
     low = F.lower(value)
     found = F.lit(False)
@@ -137,7 +155,7 @@ def merge_money(candidates: Column, policy: CurrencyPolicy, rate: Decimal | None
         if policy is CurrencyPolicy.STRICT_MATCH:
             return out
         if rate is None:
-            return out.when(F.size(currencies) == 2, F.raise_error(F.lit("two currencies need a rate")).cast("decimal(38,14)"))
+            return out  # a missing rate is the row's problem, told by resolve()
         by = F.lit(check_rate(rate)).cast("decimal(12,8)")
         return out.when(F.size(currencies) == 2, add(F.transform(money, lambda c: F.when(c["currency"] == first, wide(c)).otherwise((c["amount"] * by).cast("decimal(38,14)")))))
 
@@ -197,6 +215,8 @@ def resolve(field: Field, candidates: Column, strategy: Merge = Merge.PREFER_BY_
     def decided(f: Column, failed: Column, confidence: Column) -> Column:
         value = f["merged"]["value"]
         told = F.when(failed == 0, C.no_diagnostics()).otherwise(note("VALIDATION_FAILED", "WARNING", F.concat(F.lit("validation: "), failed.cast("string"), F.lit(" constraint(s) failed"))))
+        if field.type is FieldType.MONEY and policy is not CurrencyPolicy.STRICT_MATCH and rate is None:
+            told = F.concat(told, F.when(f["conflict"], note("MISSING_FX_RATE", "ERROR", "two currencies need a rate")).otherwise(C.no_diagnostics()))
         doubtful = F.when(f["conflict"], note("CAPABILITY_OK", "INFO", F.format_string("field unresolved: confidence %.3f < threshold %.3f", confidence, F.lit(field.confidence_threshold)))).otherwise(C.no_diagnostics())
         low = confidence < field.confidence_threshold
         reason = F.when(low, "below_threshold").otherwise("no_mergeable_value")

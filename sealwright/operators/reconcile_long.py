@@ -7,8 +7,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ReconciliationError
 from ..functions.money import check_rate, quantize
-from ..model import CurrencyPolicy, Merge
+from ..model import Contract, CurrencyPolicy, Merge
 from .reconcile import band, score
 
 #: Columns of a candidate table beside its key: order, value and the candidate's only reference.
@@ -20,6 +21,23 @@ def rank() -> Column:
     return F.struct(~F.col("has_span"), ~F.col("deterministic"), "tier", "capability_id", "pos")
 
 
+def check_fields(results: DataFrame, contract: Contract, row: str, field: str = "field_id") -> None:
+    """Each field of a row has one result, and the contract knows it; otherwise the run stops."""
+    known = [f.id for f in contract.fields]
+    wrong = results.groupBy(row, field).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(~F.coalesce(F.col(field).isin(known), F.lit(False))).alias("unknown"), F.count_if(F.col("n") > 1).alias("twice")).first()
+    if wrong["twice"]:
+        raise ReconciliationError(f"{wrong['twice']} fields have two results", "DUPLICATE_FIELD_ID")
+    if wrong["unknown"]:
+        raise ReconciliationError(f"{wrong['unknown']} results are of fields that {contract.id} doesn't have", "UNKNOWN_FIELD_ID")
+
+
+def against(results: DataFrame, contract: Contract, row: str, field: str = "field_id") -> DataFrame:
+    """One line per row and field of the contract, with its result's columns, null where there is none."""
+    check_fields(results, contract, row, field)
+    every = results.select(row).distinct().withColumn(field, F.explode(F.array(*[F.lit(f.id) for f in contract.fields])))
+    return every.join(results, [row, field], "left")
+
+
 def distinct_values(candidates: DataFrame, key: str) -> DataFrame:
     """(key, pos, value): each distinct value at its first position."""
     return candidates.where("value IS NOT NULL").groupBy(key, "value").agg(F.min("pos").alias("pos"))

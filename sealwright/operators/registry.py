@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal
 from typing import Any
 
@@ -23,6 +23,17 @@ class Context:
     field_id: str
     type_name: str
 
+    def __post_init__(self):
+        if not isinstance(self.field_id, str) or not self.field_id:
+            raise ValueError("a context needs a field id")
+        if not isinstance(self.type_name, str) or not self.type_name:
+            raise ValueError("a context needs its field's type")
+
+
+def settings(step: Step, spec: CapabilitySpec) -> Step:
+    """The step with a config of its own, in which the capability's tier is named unless the caller names one."""
+    return replace(step, config={"tier": spec.tier.name} | dict(step.config))
+
 
 #: compile(step, context) gives (candidates without pos, diagnostics) as array columns.
 Compile = Callable[[Step, Context], tuple[Column, Column]]
@@ -64,6 +75,9 @@ class Registry:
         own = [(_version(c.spec.version), k, c) for k, c in enumerate(self._all.values()) if c.spec.id == id_]
         return max(own, key=lambda x: x[:2])[2] if own else None
 
+    def __iter__(self):
+        return iter(list(self._all.values()))
+
     def specs(self) -> list[CapabilitySpec]:
         return [c.spec for c in self._all.values()]
 
@@ -92,9 +106,37 @@ def builtin() -> dict[str, Capability]:
     return {spec.id: Capability(spec, f) for spec, f in made}
 
 
+_shared: Registry | None = None
+
+
+def shared() -> Registry:
+    """The registry that is taken where none is given: lookup alone until something is registered."""
+    global _shared
+    if _shared is None:
+        _shared = Registry(builtin()["lookup"])
+    return _shared
+
+
+def share(registry: Registry) -> None:
+    global _shared
+    _shared = registry
+
+
+def register_capability(capability: Capability, replace: bool = False) -> None:
+    shared().register(capability, replace)
+
+
+def unregister_capability(id_: str, version: str) -> None:
+    shared().unregister(id_, version)
+
+
+def get_capability(id_: str, version: str | None = None) -> Capability | None:
+    return shared().latest(id_) if version is None else shared().get(id_, version)
+
+
 def default_registry() -> Registry:
-    """What is registered when the caller registers nothing: lookup alone."""
-    return Registry(builtin()["lookup"])
+    """A registry of what the shared one holds now."""
+    return Registry(*shared())
 
 
 def full_registry() -> Registry:

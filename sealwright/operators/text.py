@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,12 @@ from ..model import Step
 from . import candidates as C
 
 
+class Provider(Protocol):
+    """Extracts text in a task, from bytes and their content type. What it raises becomes a diagnostic of its row."""
+
+    def extract(self, raw: bytes, content_type: str) -> str: ...
+
+
 class _Text(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -38,12 +45,36 @@ def html_text(html: Column | str) -> Column:
     return F.pandas_udf(_html_text, StringType())(html)
 
 
+def extracted(provider: Provider, raw: Column, kind: Column) -> Column:
+    """struct<text, error> by an object with extract(), in Arrow batches."""
+
+    def one(data: bytes | None, content_type: str | None) -> tuple:
+        try:
+            return provider.extract(bytes(data or b""), content_type or ""), None
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
+
+    @F.pandas_udf("struct<text:string,error:string>")
+    def run(data: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(d, k) for d, k in zip(data, kinds, strict=True)], columns=["text", "error"], dtype=object)
+
+    return run(raw, kind)
+
+
 def compile_step(step: Step, ctx) -> tuple[Column, Column]:
     from .registry import builtin
 
     spec = builtin()["text_extraction"].spec
     kind = step.config.get("content_type")
     kind = ctx.profile["input_type"] if kind is None else F.lit(kind)
+    if (provider := step.config.get("provider")) is not None:
+        if not callable(getattr(provider, "extract", None)):
+            return C.none(), C.diagnostic("CAPABILITY_INVOKE_FAILED", "ERROR", "text_extraction: the provider has no extract()", ctx.field_id)
+        got = F.array(extracted(provider, ctx.raw, kind))
+        good = F.filter(got, lambda g: g["error"].isNull())
+        found = F.transform(good, lambda g: C.candidate(g["text"], C.of(spec, ctx.field_id, F.lit(0), F.octet_length(ctx.raw))))
+        wrong = F.transform(F.filter(got, lambda g: g["error"].isNotNull()), lambda g: F.get(C.diagnostic("CAPABILITY_INVOKE_FAILED", "ERROR", F.concat(F.lit("text_extraction: "), g["error"]), ctx.field_id), 0))
+        return found, wrong
     plain, html = kind.isin("text", "text/plain"), kind.isin("html", "text/html")
     value = F.when(plain, ctx.text).when(html, html_text(F.when(html, ctx.text)))
     one = F.array(C.candidate(value, C.of(spec, ctx.field_id, F.lit(0), F.octet_length(ctx.raw))))

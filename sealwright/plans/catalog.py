@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import money as M
 from ..functions import profile as P
 from ..functions.constraints import check, failures
@@ -71,7 +71,8 @@ FROM u
 
 
 def _profiled(df: DataFrame, key: str, column: str) -> DataFrame:
-    return df.select(key, P.profile(F.coalesce(P.raw_bytes(df, column), F.lit(b""))).alias("p")).select(key, "p.*")
+    rows = df.select(key, F.coalesce(P.raw_bytes(df, column), F.lit(b"")).alias("raw")).withColumn("text", P.decoded(F.col("raw")))
+    return rows.select(key, P.profile(F.col("raw"), F.col("text")).alias("p")).select(key, "p.*")
 
 
 @query(_profile_sql("doc_id", "text", "documents"))
@@ -349,13 +350,13 @@ def money_sum_strict(spark, sf_dir):
     return reconcile_long.sum_money(_amounts(spark, sf_dir), "o_custkey", "amount", "currency", "o_orderkey")
 
 
-@query(f"""WITH {_MONEY}, m AS (SELECT o_custkey % 50 AS bucket, CASE WHEN o_custkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS cur, amount, o_orderkey FROM a WHERE o_custkey % 50 < 40 OR o_custkey % 2 = 0),
+@query(f"""WITH {_MONEY}, m AS (SELECT o_custkey % 50 AS bucket, CASE WHEN o_custkey % 50 < 40 AND o_custkey % 2 = 1 THEN 'EUR' ELSE 'USD' END AS cur, amount, o_orderkey FROM a),
 b AS (SELECT bucket // 2 AS bucket, cur, sum(amount) AS part, min(o_orderkey) AS first FROM m GROUP BY 1, 2),
 g AS (SELECT bucket, count(*) AS n, arg_min(cur, first) AS base, arg_min(part, first) AS own, sum(part) AS both_ FROM b GROUP BY 1)
 SELECT bucket::BIGINT AS bucket, base AS currency, round_even(CASE n WHEN 1 THEN own ELSE own + (both_ - own)::DECIMAL(25,6) * 1.25::DECIMAL(12,8) END, 2)::DECIMAL(26,2) AS total FROM g""")
 def money_sum_fx(spark, sf_dir):
-    rows = _amounts(spark, sf_dir).where("o_custkey % 50 < 40 OR o_custkey % 2 = 0")
-    rows = rows.select(F.expr("(o_custkey % 50) div 2").cast("bigint").alias("bucket"), F.when(F.col("o_custkey") % 2 == 0, "USD").otherwise("EUR").alias("cur"), "amount", "o_orderkey")
+    """All orders; the last buckets are in one currency, the others in two."""
+    rows = _amounts(spark, sf_dir).select(F.expr("(o_custkey % 50) div 2").cast("bigint").alias("bucket"), F.when((F.col("o_custkey") % 50 < 40) & (F.col("o_custkey") % 2 == 1), "EUR").otherwise("USD").alias("cur"), "amount", "o_orderkey")
     return reconcile_long.sum_money(rows, "bucket", "amount", "cur", "o_orderkey", CurrencyPolicy.ALLOW_FX, Decimal("1.25"))
 
 
@@ -438,7 +439,7 @@ def status_rollup(spark, sf_dir):
   SELECT 'email' AS field_path FROM flat WHERE email IS NOT NULL UNION ALL SELECT 'ip' FROM flat WHERE ip IS NOT NULL UNION ALL SELECT 'phone' FROM flat WHERE phone <> 'none'),
   (VALUES ('regex_extraction')) AS c(capability_id) GROUP BY 1, 2""")
 def evidence_by_field(spark, sf_dir):
-    rows = _contacts(table(spark, sf_dir, "documents")).select(F.explode("results").alias("r")).select("r.field_path", F.explode("r.evidence").alias("e"))
+    rows = _contacts(table(spark, sf_dir, "documents")).select(F.explode("results").alias("r")).select("r.field_path", F.explode(artifact.by_capability(F.col("r.evidence"), "regex_extraction")).alias("e"))
     return rows.groupBy("field_path", F.col("e.capability_id").alias("capability_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -450,7 +451,7 @@ def evidence_by_field(spark, sf_dir):
   UNION ALL SELECT 'CAPABILITY_OK', 'INFO' FROM m JOIN flat USING (doc_id) WHERE phone = 'none' AND len(list_distinct(v_phone)) >= 2)
 SELECT code, severity, count(*) AS n FROM x GROUP BY 1, 2""")
 def diagnostics_by_severity(spark, sf_dir):
-    rows = _contacts(table(spark, sf_dir, "documents")).select(F.explode(F.flatten(F.transform("results", lambda r: r["diagnostics"]))).alias("d"))
+    rows = _contacts(table(spark, sf_dir, "documents")).select(F.explode(artifact.all_diagnostics()).alias("d"))
     return rows.groupBy("d.code", "d.severity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -495,9 +496,18 @@ def normalize_budget(spark, sf_dir):
 # Artifacts
 
 
-@query(None)
+@query("SELECT doc_id, true AS same, true AS told_value, true AS told_plan, 64 AS length FROM documents")
 def replay_hash(spark, sf_dir):
-    return _contacts(table(spark, sf_dir, "documents")).select("doc_id", "replay_hash")
+    """Each document's hash is the same however rows are dealt, and another one for another value or another plan."""
+    docs = table(spark, sf_dir, "documents")
+    done = _contacts(docs).select("doc_id", "replay_hash")
+    again = _contacts(docs.repartition(7)).select(F.col("doc_id").alias("i"), F.col("replay_hash").alias("again"))
+    rows = _contacts(docs)
+    changed = rows.withColumn("results", F.transform("results", lambda r: r.withField("value", F.lit("other"))))
+    value = artifact.replay(changed, full_registry()).select(F.col("doc_id").alias("j"), (~F.col("hash_ok")).alias("told_value"))
+    other = artifact.replay(rows.withColumn("execution_plan", F.lit("[]")), full_registry()).select(F.col("doc_id").alias("k"), (~F.col("hash_ok")).alias("told_plan"))
+    both = done.join(again, F.col("doc_id") == F.col("i")).join(value, F.col("doc_id") == F.col("j")).join(other, F.col("doc_id") == F.col("k"))
+    return both.select("doc_id", (F.col("replay_hash") == F.col("again")).alias("same"), "told_value", "told_plan", F.length("replay_hash").alias("length"))
 
 
 @query("SELECT doc_id % 10 <> 0 AS hash_ok, count(*) AS n, CASE WHEN doc_id % 10 = 0 THEN 'HASH_MISMATCH' END AS reason FROM documents GROUP BY 1, 3")
@@ -519,7 +529,7 @@ def serialize_roundtrip(spark, sf_dir):
 @query(f"WITH {_FLAT} SELECT * FROM flat")
 def streaming_normalize_documents(spark, sf_dir):
     """The flagship as a stream over the same files, into a table of the shared folder."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sealwright").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = storage.new_path(spark, "stream")
     docs = table(spark, sf_dir, "documents")
     # a pattern, as a stream takes a folder or a pattern, and the table may be one file
     stream = streaming.read(spark, f"{sf_dir}/documents.parque[t]", docs.schema)
@@ -527,14 +537,4 @@ def streaming_normalize_documents(spark, sf_dir):
     return spark.read.parquet(f"{root}/out")
 
 
-@query(None)
-def contract_fields(spark, sf_dir):
-    """One row per field of a few contracts in different languages."""
-    from ..sources.contracts import adapt, export
-
-    rows = []
-    for kind in ("dict_dsl", "json_schema:2020-12", "openapi:3.x", "spark_struct"):
-        for f in adapt(export(CONTACTS, kind), kind).fields:
-            rows.append((kind, f.path, f.type.name, f.required, len(f.constraints)))
-    return spark.createDataFrame(rows, "format string, path string, type string, required boolean, n_constraints int")
-
+from . import catalog_parts  # noqa: E402, F401  (registers its queries)

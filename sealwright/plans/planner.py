@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from typing import Any, Protocol
 
 from ..model import Budget, Contract, Field, FieldPlan, FieldType, Plan, Policy, Step, Tier
 from ..operators.registry import Registry
@@ -30,6 +32,30 @@ class Variant:
 VARIANTS = (Variant(False, False), Variant(True, False), Variant(True, True))
 
 
+class Heuristic(Protocol):
+    """Reorders or thins out a field's chain after it is built."""
+
+    def apply(self, field: Field, steps: tuple[Step, ...]) -> tuple[Step, ...]: ...
+
+
+def chain_cost(estimates: Iterable[Sequence[Any]]) -> Decimal:
+    """The sum of dollars over (tokens, ms, dollars); a short or mistyped estimate is an error, as it would count too little."""
+    total = Decimal(0)
+    for k, estimate in enumerate(estimates):
+        if len(estimate) < 3:
+            raise ValueError(f"estimate {k} has {len(estimate)} parts, not 3")
+        usd = estimate[2]
+        if isinstance(usd, bool) or not isinstance(usd, (Decimal, int, float)):
+            raise TypeError(f"estimate {k} has the dollars {usd!r}")
+        total += usd if isinstance(usd, Decimal) else Decimal(str(usd))
+    return total
+
+
+def chain_latency_ms(estimates: Iterable[Sequence[Any]]) -> int:
+    """The sum of milliseconds over (tokens, ms, dollars); what has none counts as none."""
+    return sum(int(e[1]) for e in estimates if len(e) > 1)
+
+
 def inference_allowed(budget: Budget | None, policy: Policy) -> tuple[bool, bool, list[tuple[str, str, str, str]]]:
     """(local, remote, diagnostics)."""
     told = []
@@ -56,12 +82,13 @@ def chain(field: Field, registry: Registry, explicit: bool, local: bool, remote:
     return tuple(steps)
 
 
-def plan(contract: Contract, registry: Registry, variant: Variant, budget: Budget | None = None, policy: Policy | None = None) -> Plan:
+def plan(contract: Contract, registry: Registry, variant: Variant, budget: Budget | None = None, policy: Policy | None = None, heuristic: Heuristic | None = None) -> Plan:
     """One chain per required field, in contract order."""
     local, remote, told = inference_allowed(budget, (policy or Policy()).under(contract.policy))
     fields = []
     for f in contract.required():
         steps = chain(f, registry, variant.explicit(f), local, remote)
+        steps = heuristic.apply(f, steps) if heuristic else steps
         if not steps:
             told.append(("FIELD_UNRESOLVED", "WARNING", "no capability accepts the field", f.path))
         fields.append(FieldPlan(f.id, steps))

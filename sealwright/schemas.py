@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from .model import Contract, FieldType
 
-EVIDENCE = "struct<capability_id:string,capability_version:string,tier:int,deterministic:boolean,field_path:string,span_start:bigint,span_end:bigint>"
+EVIDENCE = "struct<capability_id:string,capability_version:string,tier:int,deterministic:boolean,field_path:string,span_start:bigint,span_end:bigint,model_id:string,prompt_tokens:int,completion_tokens:int>"
 DIAGNOSTIC = "struct<code:string,severity:string,message:string,field_path:string>"
 #: pos orders the candidates of a field; amount and currency are set for money alone.
 CANDIDATE = f"struct<pos:int,value:string,amount:decimal(20,6),currency:string,evidence:array<{EVIDENCE}>>"

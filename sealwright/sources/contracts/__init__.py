@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .registry import adapt, adapters, detect, export, get_adapter, register, unregister
+from .registry import adapt, adapters, detect, export, get_adapter, register_adapter, unregister_adapter
 
-__all__ = ["adapt", "adapters", "detect", "export", "get_adapter", "register", "unregister"]
+__all__ = ["adapt", "adapters", "detect", "export", "get_adapter", "register_adapter", "unregister_adapter"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from decimal import Decimal
 from typing import Any
 
@@ -12,6 +13,8 @@ from .dsl import bad, money
 #: Drafts that are read (fixed values).
 DRAFTS = ("draft/2020-12", "draft/2019-09", "draft-07", "draft-06", "draft-04")
 MONEY_MARK, MONEY_NAME = "x-field-type", "MONEY"
+#: The keys by which a property says that it is money: x-field-type, or another maker's x-...-type.
+MONEY_MARKS = r"x-[a-z0-9]+-type"
 REFUSED = ("const", "oneOf", "anyOf", "allOf", "$ref")
 TYPES = {"string": FieldType.STRING, "integer": FieldType.INTEGER, "number": FieldType.DECIMAL, "boolean": FieldType.BOOLEAN, "object": FieldType.OBJECT, "array": FieldType.ARRAY}
 
@@ -33,7 +36,7 @@ def constraints(kind: FieldType, spec: dict[str, Any]) -> tuple[Constraint, ...]
     return tuple(out)
 
 
-def prop(contract_id: str, name: str, spec: Any, required: bool, marks: tuple[str, ...] = (MONEY_MARK,)) -> Field:
+def prop(contract_id: str, name: str, spec: Any, required: bool, marks: str = MONEY_MARKS) -> Field:
     if not isinstance(spec, dict):
         raise bad("INVALID_FIELD", f"{name} is not an object")
     for key in REFUSED:
@@ -51,7 +54,7 @@ def prop(contract_id: str, name: str, spec: Any, required: bool, marks: tuple[st
     if declared == "null":
         declared, nullable, required = "string", True, False
     choices, rules, value = None, (), spec.get("default")
-    if any(str(spec.get(m, "")).upper() == MONEY_NAME for m in marks) or any(k.startswith("x-") and v == MONEY_NAME for k, v in spec.items()):
+    if any(re.fullmatch(marks, k) and str(v).upper() == MONEY_NAME for k, v in spec.items()):
         kind, rules, value = FieldType.MONEY, (Constraint.of(ConstraintKind.ISO_4217),), None if value is None else money(value)
     elif "enum" in spec:
         kind, choices = FieldType.ENUM, tuple(spec["enum"])

@@ -22,13 +22,57 @@ _ALIASES = {"openapi:3.0": "openapi:3.x"}
 #: Keys that mark a dict as JSON Schema (fixed values). `title`, `description`, `default` and `required` are among
 #: them, so a dict of the other language must not have them at its top.
 MARKERS = frozenset(
-    "$schema $id $ref $defs $anchor $comment $vocabulary $dynamicRef $dynamicAnchor type properties required items title description default examples "
-    "definitions additionalProperties patternProperties propertyNames minProperties maxProperties dependentRequired dependentSchemas "
-    "enum const oneOf anyOf allOf not if then else minLength maxLength pattern format minimum maximum exclusiveMinimum exclusiveMaximum multipleOf".split()
+    (
+        "$schema",
+        "openapi",
+        "$defs",
+        "definitions",
+        "properties",
+        "patternProperties",
+        "additionalProperties",
+        "propertyNames",
+        "required",
+        "allOf",
+        "anyOf",
+        "oneOf",
+        "not",
+        "items",
+        "prefixItems",
+        "contains",
+        "minProperties",
+        "maxProperties",
+        "minItems",
+        "maxItems",
+        "uniqueItems",
+        "pattern",
+        "const",
+        "enum",
+        "multipleOf",
+        "minimum",
+        "maximum",
+        "exclusiveMinimum",
+        "exclusiveMaximum",
+        "minLength",
+        "maxLength",
+        "format",
+        "$id",
+        "$ref",
+        "$comment",
+        "$anchor",
+        "title",
+        "description",
+        "default",
+        "examples",
+        "readOnly",
+        "writeOnly",
+        "deprecated",
+        "contentEncoding",
+        "contentMediaType",
+    )
 )
 
 
-def register(format_id: str, adapter: Any, replace: bool = False) -> None:
+def register_adapter(format_id: str, adapter: Any, replace: bool = False) -> None:
     if not format_id or format_id != format_id.lower():
         raise ValueError("a format id is lower case and not empty")
     if format_id in _ADAPTERS and not replace:
@@ -36,7 +80,7 @@ def register(format_id: str, adapter: Any, replace: bool = False) -> None:
     _ADAPTERS[format_id] = adapter
 
 
-def unregister(format_id: str) -> None:
+def unregister_adapter(format_id: str) -> None:
     del _ADAPTERS[format_id]
 
 

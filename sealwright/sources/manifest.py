@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import partial, reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..errors import EngineError
+from ..operators.reconcile import Status
 from ..plans.engine import normalize
 
 SCHEMA = "id string, input_file string, contract_name string"
@@ -27,48 +31,72 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def _exists(folder: str, batches):
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        found = store.get_file_info([f"{root}/{n}" for n in names]) if names else []
+        yield batch.filter(pa.array([f.type == fs.FileType.NotFound for f in found], pa.bool_()))
+
+
 def inputs(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """Manifest rows with their file's bytes; a file that is missing stops the run.
 
-    Spark's file sources skip files of no bytes, so rows that find none are looked up one by one.
+    Spark's file sources skip files of no bytes, so rows that find none are looked up, in tasks.
     """
-    store, root = _store(spark, folder)
-    name = F.expr(f"substring(path, {len(root.toString()) + 2})")
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    root = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toString()
+    name = F.expr(f"substring(path, {len(root) + 2})")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(name.alias("file"), F.col("content").alias("raw"))
     rows = manifest.join(files, F.col("input_file") == F.col("file"), "left").drop("file")
-    for (missing,) in rows.where("raw IS NULL").select("input_file").distinct().toLocalIterator():
-        if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(root, missing)):
-            raise EngineError(f"no input file {missing}", "MISSING_INPUT")
+    folder = root if "://" in root else "file://" + root.removeprefix("file:")
+    missing = rows.where("raw IS NULL").select("input_file").distinct().mapInArrow(partial(_exists, folder), "input_file string").first()
+    if missing:
+        raise EngineError(f"no input file {missing[0]}", "MISSING_INPUT")
     return rows.withColumn("raw", F.coalesce("raw", F.lit(b"")))
 
 
-def _store(spark: SparkSession, folder: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
-    store = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return store, store.makeQualified(p)
-
-
 def run(spark: SparkSession, manifest_path: str, folder: str, contracts: Mapping[str, Any], out: str | None = None, **options: Any) -> tuple[DataFrame, DataFrame]:
-    """(artifacts, summary): each contract's rows are normalized by its own compiled plan and put together."""
+    """(artifacts, summary): each contract's rows are normalized by its own compiled plan and put together.
+
+    The manifest's own faults (none of its rows, an unsafe id, an unknown contract, a missing file) stop the run. Rows of
+    a contract that can't be compiled fail: their status is FAILED and `error` says why, and the other rows go on. The
+    files are read once, into a table by contract. With `out`, artifacts go there as JSON by status, the summary beside
+    them, and both results are read from what was written.
+    """
     rows = load(spark, manifest_path)
     names = sorted(r[0] for r in rows.select("contract_name").distinct().limit(len(contracts) + 1).collect())
     unknown = [n for n in names if n not in contracts]
     if unknown:
         raise EngineError(f"unknown contract {unknown[0]!r}", "UNKNOWN_CONTRACT")
-    ready = inputs(spark, rows, folder)
-    found: DataFrame | None = None
+    ready = storage.cut(inputs(spark, rows, folder), "inputs")
+    done: list[DataFrame] = []
     for name in names:
-        part = normalize(ready.where(F.col("contract_name") == name), contracts[name], raw="raw", **options)
-        found = part if found is None else found.unionByName(part)
-    assert found is not None
-    if out:
-        found.withColumn("capability_versions", F.to_json("capability_versions")).withColumn("normalized", F.to_json("normalized")).write.partitionBy("status").json(out)
-    return found, summarize(found)
+        own = ready.where(F.col("contract_name") == name)
+        try:
+            done.append(normalize(own, contracts[name], raw="raw", **options).withColumn("error", F.lit(None).cast("string")))
+        except (EngineError, ValueError, TypeError) as e:
+            done.append(own.drop("raw").select("*", F.lit(Status.FAILED.value).alias("status"), F.lit(f"{type(e).__name__}: {e}").alias("error")))
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
+    if not out:
+        return found, summarize(found)
+    texts = {c: F.to_json(c) for c in ("capability_versions", "normalized") if c in found.columns}
+    found.withColumns(texts).write.partitionBy("status").json(f"{out}/artifacts")
+    written = spark.read.json(f"{out}/artifacts")
+    summarize(written).coalesce(1).write.json(f"{out}/run_summary")
+    storage.forget(ready)
+    return written, spark.read.schema(SUMMARY).json(f"{out}/run_summary")
+
+
+SUMMARY = "total long, successful long, unresolved long, failed long"
 
 
 def summarize(artifacts: DataFrame) -> DataFrame:
-    """(total, successful, unresolved) of a run."""
-    return artifacts.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin("SUCCESS", "PARTIAL_SUCCESS")).alias("successful"), F.count_if(F.col("status") == "UNRESOLVED").alias("unresolved"))
+    """(total, successful, unresolved, failed) of a run."""
+    count = lambda *names: F.count_if(F.col("status").isin(*names))
+    return artifacts.agg(F.count(F.lit(1)).alias("total"), count("SUCCESS", "PARTIAL_SUCCESS").alias("successful"), count("UNRESOLVED").alias("unresolved"), F.count_if(~F.col("status").isin("SUCCESS", "PARTIAL_SUCCESS", "UNRESOLVED")).alias("failed"))
 
 
 class NormalizeTool:

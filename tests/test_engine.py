@@ -404,8 +404,12 @@ def test_manifest(spark, tmp_path):
     contract = Contract("c", (Field("s", "s", "s", FieldType.STRING),))
     done, summary = manifest.run(spark, f"{tmp_path}/m.csv", f"{tmp_path}/in", {"c": contract}, f"{tmp_path}/out", registry=full_registry(), policy=Policy(unresolved_acceptable=False))
     assert {r.id: r.status for r in done.collect()} == {"one": "SUCCESS", "two": "UNRESOLVED"}
-    assert summary.first().asDict() == {"total": 2, "successful": 1, "unresolved": 1}
-    assert spark.read.json(f"{tmp_path}/out").count() == 2
+    assert summary.first().asDict() == {"total": 2, "successful": 1, "unresolved": 1, "failed": 0}
+    assert spark.read.json(f"{tmp_path}/out/artifacts").count() == 2 and spark.read.json(f"{tmp_path}/out/run_summary").first().total == 2
+    (tmp_path / "m2.csv").write_text("id,input_file,contract_name\none,a.txt,c\ntwo,deep/b.txt,broken\n")
+    done, summary = manifest.run(spark, f"{tmp_path}/m2.csv", f"{tmp_path}/in", {"c": contract, "broken": {"id": "x", "fields": []}}, registry=full_registry())
+    assert {r.id: (r.status, r.error) for r in done.collect()} == {"one": ("SUCCESS", None), "two": ("FAILED", "InvalidContractError: a contract needs a field")}
+    assert summary.first().failed == 1
     for text, code in (("id,input_file,contract_name\n", "EMPTY_MANIFEST"), ("id,input_file,contract_name\nx,../a.txt,c\n", "UNSAFE_MANIFEST"), ("id,input_file,contract_name\nx,a.txt,d\n", "UNKNOWN_CONTRACT"), ("id,input_file,contract_name\nx,z.txt,c\n", "MISSING_INPUT")):
         (tmp_path / "bad.csv").write_text(text)
         with pytest.raises(EngineError) as e:
@@ -415,6 +419,157 @@ def test_manifest(spark, tmp_path):
     assert tool.run(spark.createDataFrame([("a",)], "text string"))["success"] is False
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from sealwright.__main__ import main
+
+    assert main([]) == 2 and main(["m.csv", "in", f"{tmp_path}/none.json", "out"]) == 2
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("alpha")
+    (tmp_path / "contracts.json").write_text(json.dumps({"c": {"id": "c", "fields": [{"name": "s", "type": "STRING", "required": True}]}, "b": {"id": "b"}}))
+    for rows, code in (("one,a.txt,c", 0), ("one,a.txt,c\ntwo,a.txt,b", 1), ("one,z.txt,c", 2)):
+        (tmp_path / "m.csv").write_text(f"id,input_file,contract_name\n{rows}\n")
+        assert main([f"{tmp_path}/m.csv", f"{tmp_path}/in", f"{tmp_path}/contracts.json", f"{tmp_path}/out{code}"]) == code
+    assert "failed: 1" in capsys.readouterr().out
+
+
+def test_public_names_are_lazy():
+    import subprocess
+    import sys
+
+    code = "import sys, sealwright; assert 'pyspark' not in sys.modules; sealwright.EngineError; assert 'pyspark' not in sys.modules; sealwright.normalize; assert 'pyspark' in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True)
+    import sealwright
+
+    assert all(getattr(sealwright, n) is not None for n in sealwright.__all__) and "replay" in dir(sealwright)
+    with pytest.raises(AttributeError):
+        sealwright.nothing  # noqa: B018
+
+
+def test_logging():
+    import io
+    import logging
+
+    from sealwright import log
+
+    for replay in (True, False):
+        out = io.StringIO()
+        log.logger().handlers.clear()
+        log.configure("info", json_output=True, replay_mode=replay, stream=out)
+        log.configure("debug")
+        log.logger("planner").info("planned", extra={"steps": 3})
+        log.logger("planner").debug("hidden")
+        line = json.loads(out.getvalue())
+        assert ("time" in line) is not replay and {k: v for k, v in line.items() if k != "time"} == {"event": "planned", "level": "info", "logger": "sealwright.planner", "steps": 3}
+    log.logger().handlers.clear()
+    with pytest.raises(ValueError):
+        log.configure("loud")
+    assert logging.getLogger("sealwright") is log.logger()
+
+
+def test_clocks():
+    import datetime
+
+    from sealwright.clock import FixedClock, SystemClock
+
+    c = FixedClock()
+    before = c.now()
+    c.advance(2.5)
+    assert c.now() - before == datetime.timedelta(seconds=2.5) and c.monotonic() == 2.5
+    assert SystemClock().now().tzinfo is not None and SystemClock().monotonic() <= SystemClock().monotonic()
+    with pytest.raises(ValueError):
+        c.advance(-1)
+
+
+def test_strategies(spark):
+    from hypothesis import HealthCheck, given, settings
+
+    from sealwright import testing
+    from sealwright.operators import registry as R
+
+    seen = []
+
+    @settings(max_examples=25, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+    @given(testing.contracts(), testing.inputs(), testing.budgets(), testing.policies(), testing.registries())
+    def planned(contract, raw, budget, policy, registry):
+        for v in planner.VARIANTS:
+            made, _ = planner.affordable(planner.plan(contract, registry, v, budget, policy), registry, budget)
+            assert [f.field_id for f in made.fields] == [f.id for f in contract.required()]
+            assert all(registry.get(s.capability_id, s.capability_version) for f in made.fields for s in f.steps)
+        seen.append(raw)
+
+    planned()
+    rows = []
+
+    @settings(max_examples=60, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+    @given(testing.candidate_sets())
+    def drawn(own):
+        rows.append((len(rows), own))
+
+    drawn()
+    df = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(seen)], "i int, raw binary")
+    for r in df.select("i", P.profile(F.col("raw")).alias("p")).collect():
+        assert (r.p.input_type, r.p.size, r.p.is_empty) == tuple(py_profile(seen[r.i])[k] for k in (0, 1, 3))
+    cands = spark.createDataFrame(rows, f"i int, c array<{CANDIDATE}>")
+    for r in cands.select("i", "c", reconcile.resolve(Field("f", "f", "f", FieldType.STRING), F.col("c")).alias("r")).collect():
+        want = py_resolve([c.asDict(recursive=True) for c in r.c], Merge.PREFER_BY_EVIDENCE, 0.80, None)
+        assert (r.r.value if r.r.status == "RESOLVED" else None) == (want[0] if want else None)
+    with testing.registered(Registry()):
+        assert not R.shared().ids()
+    assert R.shared().ids() == {"lookup"}
+
+
+def test_missing_rate_is_the_rows_problem(spark):
+    ref = {"capability_id": "x", "capability_version": "1", "tier": 1, "deterministic": True, "field_path": "f", "span_start": None, "span_end": None}
+    c = lambda amount, cur: {"pos": 0, "value": None, "amount": Decimal(amount), "currency": cur, "evidence": [ref]}
+    df = spark.createDataFrame([(0, [c("1", "USD"), c("2", "USD")]), (1, [c("1", "USD"), c("2", "EUR")])], f"i int, c array<{CANDIDATE}>")
+    field = Field("f", "f", "f", FieldType.MONEY, confidence_threshold=0.5)
+    got = {r.i: (r.r.value, [d.code for d in r.r.diagnostics if d.severity == "ERROR"]) for r in df.select("i", reconcile.resolve(field, F.col("c"), policy=CurrencyPolicy.ALLOW_FX).alias("r")).collect()}
+    assert got == {0: ("3.00 USD", []), 1: (None, ["MISSING_FX_RATE"])}
+
+
+def test_fields_of_results_are_checked(spark):
+    contract = Contract("c", (Field("a", "a", "a", FieldType.STRING),))
+    for rows, code in (([(1, "a"), (1, "a")], "DUPLICATE_FIELD_ID"), ([(1, "a"), (1, "z")], "UNKNOWN_FIELD_ID")):
+        with pytest.raises(EngineError) as e:
+            reconcile_long.against(spark.createDataFrame(rows, "row int, field_id string"), contract, "row")
+        assert e.value.code == code
+    with pytest.raises(EngineError) as e:
+        normalize(spark.createDataFrame([("x",)], "text string"), contract, plan=Plan("c", (FieldPlan("z"),)))
+    assert e.value.code == "UNKNOWN_FIELD_ID"
+
+
+def test_lines_must_be_objects(spark):
+    schema = T.StructType([T.StructField("a", T.IntegerType())])
+    assert artifact.decode(spark.createDataFrame([(' {"a": 1}',)], "value string"), schema).first().a == 1
+    with pytest.raises(Exception, match="NOT_AN_OBJECT"):
+        artifact.decode(spark.createDataFrame([("[1]",)], "value string"), schema).collect()
+
+
+def test_formats_are_told_by_their_markers():
+    assert detect({"id": "x", "type": "whatever", "fields": []}) == "dict_dsl"
+    assert detect({"id": "x", "uniqueItems": True}) == "json_schema:2020-12" and detect({"openapi": "3.0.0"}) == "openapi:3.x"
+
+
+def test_shared_registry():
+    from dataclasses import replace
+
+    from sealwright.operators import registry as R
+
+    lookup = builtin()["lookup"]
+    newer = R.Capability(replace(lookup.spec, version="2.0"), lookup.compile)
+    R.register_capability(newer)
+    try:
+        assert R.get_capability("lookup") is newer and R.get_capability("lookup", "1.0").spec.version == "1.0"
+        assert default_registry().latest("lookup") is newer
+    finally:
+        R.unregister_capability("lookup", "2.0")
+    assert R.get_capability("lookup").spec.version == "1.0"
+    step = R.settings(Step("lookup", "1.0", {"key": "k"}), lookup.spec)
+    assert step.config == {"tier": "STRUCTURED_LOOKUP", "key": "k"}
+    with pytest.raises(ValueError):
+        R.Context(None, None, None, "", "STRING")
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "one"), (2, "two")], "id int, text string").withColumn("at", F.lit("2024-01-01 00:01:00").cast("timestamp")).write.parquet(f"{tmp_path}/in")
     stream = streaming.read(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
