@@ -26,7 +26,7 @@ LEAST_ESTIMATE = 0.44
 SET_WORDS = 64
 #: Rounds in which a document meets one member of each bucket, another in every bucket and round. What they leave open
 #: is compared in full, so their number changes speed only.
-ROUNDS = 1
+ROUNDS = 2
 #: A bucket is compared pair by pair while its members have so many members of other components on average, which bounds
 #: the work of a document; documents in larger ones meet over their rarest shingles instead, and no pair is lost either
 #: way. Members of a group are dealt to places of so many.
