@@ -173,8 +173,9 @@ def _default(field: Field) -> str:
     return str(field.default).lower() if isinstance(field.default, bool) else str(field.default)
 
 
-def resolve(field: Field, candidates: Column, strategy: Merge = Merge.PREFER_BY_EVIDENCE, policy: CurrencyPolicy = CurrencyPolicy.STRICT_MATCH, rate: Decimal | None = None) -> Column:
-    """RESOLVED of one field: filter, detect conflicts, merge, validate, score, threshold, fall back."""
+def resolve(field: Field, candidates: Column | None, strategy: Merge = Merge.PREFER_BY_EVIDENCE, policy: CurrencyPolicy = CurrencyPolicy.STRICT_MATCH, rate: Decimal | None = None) -> Column:
+    """RESOLVED of one field: filter, detect conflicts, merge, validate, score, threshold, fall back. Without candidates
+    (None), where no step can give any, the fallback alone is left."""
     note = lambda code, severity, message: C.diagnostic(code, severity, message, field.path)
     null = F.lit(None).cast("string")
 
@@ -190,7 +191,10 @@ def resolve(field: Field, candidates: Column, strategy: Merge = Merge.PREFER_BY_
             return made("RESOLVED", F.lit(_default(field)), F.lit(0.60), F.lit("MEDIUM"), F.lit(False), F.lit("USE_DEFAULT"), no_refs, F.concat(before, note("CAPABILITY_OK", "INFO", "used field default (fallback policy: USE_DEFAULT)")))
         if field.fallback is Resolution.REQUIRE_HUMAN:
             before = F.concat(before, note("FIELD_UNRESOLVED", "WARNING", "human review required"))
-        return made("UNRESOLVED", null, F.lit(0.0), F.lit("UNTRUSTED"), F.lit(False), null, no_refs, F.concat(before, note("CAPABILITY_OK", "INFO", F.concat(F.lit("field unresolved: "), reason))))
+        return made("UNRESOLVED", null, F.lit(0.0), F.lit("UNTRUSTED"), F.lit(False), null, no_refs, F.concat(before, note("CAPABILITY_OK", "INFO", F.concat(F.lit("field unresolved: "), F.lit(reason) if isinstance(reason, str) else reason))))
+
+    if candidates is None:
+        return fallback("no_candidates", C.no_diagnostics())
 
     def merged(safe: Column) -> Column:
         if field.type is FieldType.MONEY:

@@ -16,6 +16,7 @@ from ..model import Budget, Contract, CurrencyPolicy, Field, Merge, Plan, Policy
 from ..operators import candidates as C
 from ..operators.reconcile import resolve
 from ..operators.registry import Context, Registry, default_registry, settings
+from ..schemas import EVIDENCE
 from ..sources.contracts import adapt
 from . import planner
 from .artifact import executed_evidence, promoted, seal, stable_dumps
@@ -24,17 +25,18 @@ PROFILE = "__profile"
 
 
 @lru_cache(maxsize=512)
-def _compiled(gateway: int, field: Field, name: str, strategy: Merge, policy: CurrencyPolicy, rate: Decimal | None) -> Column:
-    return resolve(field, F.col(name), strategy, policy, rate)
+def _compiled(gateway: int, field: Field, name: str | None, strategy: Merge, policy: CurrencyPolicy, rate: Decimal | None) -> Column:
+    return resolve(field, None if name is None else F.col(name), strategy, policy, rate)
 
 
-def resolution(field: Field, name: str, strategy: Merge, policy: CurrencyPolicy, rate: Decimal | None) -> Column:
+def resolution(field: Field, name: str | None, strategy: Merge, policy: CurrencyPolicy, rate: Decimal | None) -> Column:
     """The field's resolution over the candidates column `name`. It is a few hundred calls to the JVM to build and
-    depends on the contract alone, so it is built once a contract and JVM; defaults that can't be hashed build it anew."""
+    depends on the contract alone, so it is built once a contract and JVM; defaults that can't be hashed build it anew.
+    No name stands for a field that no step is planned for."""
     try:
         hash(field)
     except TypeError:
-        return resolve(field, F.col(name), strategy, policy, rate)
+        return resolve(field, None if name is None else F.col(name), strategy, policy, rate)
     return _compiled(id(SparkContext._gateway), field, name, strategy, policy, rate)
 
 
@@ -113,22 +115,22 @@ def normalize(
         both = [_field_candidates(p, registry, f.id, source, text, profile, f.type.name) for _, p, _ in cut]
         if all(s == steps[0] for s in steps):
             both = both[:1]
-        results.append((f, pick([found for found, _ in both])))
+        results.append((f, pick([found for found, _ in both]) if any(steps) else None))
         said.append(pick([told for _, told in both]))
     for _, p, over in cut:
         rows_ = [*p.diagnostics, *over]
         planned.append(F.concat(*[C.diagnostic(*d) for d in rows_]) if rows_ else C.no_diagnostics())
-    names = [f"__c{i}" for i in range(len(results))]
+    names = [None if c is None else f"__c{i}" for i, (_, c) in enumerate(results)]
     written = [F.lit(_written(p)) for _, p, _ in cut]
     # candidates first, so that each is computed once however often the resolution reads it
-    rows = rows.select("*", *[c.alias(n) for (_, c), n in zip(results, names, strict=True)], (pick(planned) if len(planned) > 1 else planned[0]).alias("__plan_diagnostics"), pick(written).alias("execution_plan"))
+    rows = rows.select("*", *[c.alias(n) for (_, c), n in zip(results, names, strict=True) if n], (pick(planned) if len(planned) > 1 else planned[0]).alias("__plan_diagnostics"), pick(written).alias("execution_plan"))
     fields = F.array(*[resolution(f, n, strategy, currency_policy, fx_rate) for (f, _), n in zip(results, names, strict=True)])
     more = [stamp(clock).alias("created_at")] if clock else []
     if run_diagnostics:
         rows = rows.withColumn("__said", F.concat(*said))
         more.append(promoted(F.col("__said")).alias("run_diagnostics"))
     if run_evidence:
-        more.append(F.concat(*[executed_evidence(F.col(n)) for n in names]).alias("run_evidence"))
+        more.append(F.concat(F.array().cast(f"array<{EVIDENCE}>"), *[executed_evidence(F.col(n)) for n in names if n]).alias("run_evidence"))
     keep = [c for c in df.columns if c != raw or keep_raw]
     out = rows.select(*keep, F.col(PROFILE).alias("profile"), F.col("__plan_diagnostics").alias("plan_diagnostics"), "execution_plan", fields.alias("results"), *more)
     return seal(out, contract, policy)
