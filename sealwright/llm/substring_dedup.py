@@ -169,8 +169,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     sized = join_dealt(distinct.select("digest", "mini", "packed", "low"), sizes, "mini", F.col("digest"))
     bucket = sized.where("fits").select("mini", "digest", "low", "packed").repartition("mini").sortWithinPartitions("mini")
     cold = bucket.mapInArrow(_buckets, "digest binary, found array<int>")
-    large = sized.where("NOT fits").select("digest", "low", "packed")
-    hashes = large.mapInArrow(_single_hashes, "digest binary, low long, at int, hash long")
+    # written, as each is read several times: otherwise every reading meets all super-k-mers with their buckets again
+    large = cut(sized.where("NOT fits").select("digest", "low", "packed"), "large")
+    hashes = cut(large.mapInArrow(_single_hashes, "digest binary, low long, at int, hash long"), "hashes")
     twice = hashes.groupBy("hash").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).where("lo < hi").select("hash")
     ats = hashes.join(twice, "hash", "left_semi").groupBy(F.col("digest").alias("d")).agg(F.collect_list("at").alias("ats"))
     single = large.join(ats, F.col("digest") == F.col("d")).select("digest", "low", "packed", "ats").mapInArrow(_single_windows, "digest binary, low long, at int, window binary")
@@ -178,7 +179,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     hot = single.join(least, F.col("window") == F.col("w")).where("low > least").groupBy("digest").agg(F.collect_list("at").alias("found"))
     told = cold.union(hot).select(F.col("digest").alias("td"), "found")
     known = cut(distinct.select("digest", "low", F.col("holders").alias("n")).join(told, F.col("digest") == F.col("td"), "left").select("digest", "low", "found", "n"), "known")
-    forget(distinct, sizes)
+    forget(distinct, sizes, large, hashes)
     spans = join_dealt(kmers.select("digest", "id", "first", F.col("n").alias("windows")), known, "digest", F.col("id")).where("id > low OR found IS NOT NULL")
     window = lambda a, b: F.struct(a.alias("first"), b.alias("past"))
     ranges = F.when(F.col("id") > F.col("low"), F.array(window(F.col("first"), F.col("first") + F.col("windows") + WINDOW - 1))).otherwise(
