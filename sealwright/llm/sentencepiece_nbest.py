@@ -219,13 +219,17 @@ class Codec:
         new = [u for u in every if u not in self.known]
         size = sum(map(len, new))
         if self.held and self.held + size > REMEMBERED:
-            self.known.clear()
-            self.lists.clear()
-            new, self.held = list(every), 0
+            self.forget()
+            new = list(every)
             size = sum(map(len, new))
         self.held += size
         self.solve(new, n)
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.lists.clear()
+        self.held = 0
+
     def encode(self, text: str, n: int = NBEST) -> list[tuple[float, bytes]]:
         """The n best (score, ids as little-endian int32) of a text, the best first; '' has one empty segmentation."""
         units = self.units(text)
@@ -281,7 +285,7 @@ _CODECS: dict[int, Codec] = {}
 
 
 def _codec(model) -> Codec:
-    """One codec a worker and model, so that what it remembers lasts."""
+    """One codec a worker and model, as its tables take time to make; what it remembers of texts lasts for a task."""
     key = hash((len(model[0]), tuple(model[0][-50:]), tuple(model[1][-50:])))
     if key not in _CODECS:
         _CODECS[key] = Codec(*model)
@@ -303,17 +307,20 @@ def _together(texts: list[str]) -> Iterator[list[str]]:
 
 def _encode(model, n: int, batches):
     codec = _codec(model)
-    for batch in batches:
-        ids, scores, same = [], [], []
-        for texts in _together([t or "" for t in batch.column(1).to_pylist()]):
-            units = [codec.units(t) for t in texts]
-            codec.learn(units, n)
-            for text, own in zip(texts, units, strict=True):
-                found = codec.choose(own, n)
-                ids.append([i for _, i in found])
-                scores.append([s for s, _ in found])
-                same.append(all(codec.decode(i) == text for _, i in found))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.binary())), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())], ["id", "nbest_ids", "scores", "restored"])
+    try:
+        for batch in batches:
+            ids, scores, same = [], [], []
+            for texts in _together([t or "" for t in batch.column(1).to_pylist()]):
+                units = [codec.units(t) for t in texts]
+                codec.learn(units, n)
+                for text, own in zip(texts, units, strict=True):
+                    found = codec.choose(own, n)
+                    ids.append([i for _, i in found])
+                    scores.append([s for s, _ in found])
+                    same.append(all(codec.decode(i) == text for _, i in found))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.binary())), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())], ["id", "nbest_ids", "scores", "restored"])
+    finally:
+        codec.forget()  # the worker outlives the task, and other stages need the memory
 
 
 def _decode(model, batches):
