@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 from typing import Protocol
 
@@ -29,20 +31,32 @@ class _Text(HTMLParser):
         self.parts.append(data)
 
 
-def html_to_text(html: str) -> str:
-    """All text between tags, that of scripts and styles too; entities are decoded and comments dropped."""
+#: An ampersand, and the reference that it begins if a semicolon ends it.
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)?")
+
+
+def html_to_text(html: str, ended: bool = False) -> str:
+    """All text between tags, that of scripts and styles too; entities are decoded and comments dropped.
+
+    The standard parser decodes `&amp` without its semicolon too. With `ended`, only references that a semicolon ends
+    are decoded, and other ampersands stay.
+    """
+    stands = ""
+    if ended and "&" in html:
+        stands = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in html)
+        html = _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else stands + (m[1] or ""), html)
     parser = _Text()
     parser.feed(html)
     parser.close()
-    return "".join(parser.parts)
-
+    out = "".join(parser.parts)
+    return out.replace(stands, "&") if stands else out
 
-def _html_text(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: None if x is None else html_to_text(x))
 
+def html_text(html: Column | str, ended: bool = False) -> Column:
+    def run(html: pd.Series) -> pd.Series:
+        return html.map(lambda x: None if x is None else html_to_text(x, ended))
 
-def html_text(html: Column | str) -> Column:
-    return F.pandas_udf(_html_text, StringType())(html)
+    return F.pandas_udf(run, StringType())(html)
 
 
 def extracted(provider: Provider, raw: Column, kind: Column) -> Column:

@@ -4,6 +4,7 @@ import json
 import random
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,6 +113,20 @@ def test_html_text():
     assert html_to_text(page) == 'a&bp{margin:0}var t="</p>";x < y z'
 
 
+def test_text_extract_html_equals_sql_on_cut_references(spark, tmp_path):
+    """A reference that is cut before its semicolon, as some pages of sf0.1 have it; null and empty pages."""
+    pages = [(1, "<p>a &amp;&copy; b&&&amp</p><!-- &amp --><p>&ampc &quot;&q; &amp"), (2, None), (3, ""), (4, '<p>&\ue000</p><script>var t="</p>"; a && b</script>')]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = dict(con.execute(__spark_entry__.oracle_sql()["text_extract_html"]).fetchall())
+    got = {r.page_id: r.text for r in __spark_entry__.queries()["text_extract_html"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert got[1] == 'a &© b&&&amp&ampc "&q; &amp'
+    assert html_to_text(pages[0][1]) == 'a &© b&&&&c "&q; &'
+    assert html_to_text("&lt;&#60;&#x3C;&#60 &lt &nope;", ended=True) == "<<<&#60 &lt &nope;"
+
+
 def test_registry():
     r = default_registry()
     assert r.ids() == {"lookup"}
