@@ -37,6 +37,53 @@ def load(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
     return [sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], kinds
 
 
+class Known:
+    """What is known of units: best ids, their score and the loss of the second best, in arrays with a number for each unit."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.n, self.filled = 0, 0
+        self.score, self.loss = np.empty(1024), np.empty(1024)
+        self.start, self.size = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.ids = np.empty(4096, "<i4")
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def __getitem__(self, unit: str) -> tuple[bytes, float, float]:
+        k = self.number[unit]
+        return self.ids[self.start[k] : self.start[k] + self.size[k]].tobytes(), float(self.score[k]), float(self.loss[k])
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(x):
+            return x
+        out = np.empty(max(n, len(x) * 3 // 2), x.dtype)
+        out[: len(x)] = x
+        return out
+
+    def add(self, units: list[str], ids: np.ndarray, sizes, scores, losses) -> None:
+        """The units' ids one after another, and how many each has."""
+        n, filled = self.n + len(units), self.filled + len(ids)
+        self.score, self.loss, self.start, self.size = (self._room(x, n) for x in (self.score, self.loss, self.start, self.size))
+        self.ids = self._room(self.ids, filled)
+        own = slice(self.n, n)
+        self.score[own], self.loss[own], self.size[own] = scores, losses, sizes
+        self.start[own] = self.filled + np.cumsum(self.size[own]) - self.size[own]
+        self.ids[self.filled : filled] = ids
+        self.number.update(zip(units, range(self.n, n), strict=True))
+        self.n, self.filled = n, filled
+
+    def joined(self, numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The ids of units one after another, and where each unit's end."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.start[numbers] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes(), ends
+
+
 class Codec:
     """Encodes by the piece lattice: the sum of piece scores is largest; a character that no piece holds is its bytes.
 
@@ -59,13 +106,21 @@ class Codec:
             raise ValueError("a piece goes beyond a unit of text")
         self.fallback = min(s for _, s in self.pieces.values()) - 10.0
         self.longest = max(map(len, self.pieces))
-        self.spelled = [b"" if k == 2 else bytes([int(p[3:5], 16)]) if k == 1 else p.replace(SPACE, " ").encode() for p, k in zip(pieces, kinds, strict=True)]
+        self.spelled = pa.array([b"" if k == 2 else bytes([int(p[3:5], 16)]) if k == 1 else p.replace(SPACE, " ").encode() for p, k in zip(pieces, kinds, strict=True)], pa.binary())
+        begun: dict[str, tuple[int, float]] = {}
+        longer: set[str] = set()
+        for p, (i, score) in self.pieces.items():
+            longer.update(p[:w] for w in range(1, len(p)))
+            begun[p] = (i, score)
+        for p in longer:
+            begun.setdefault(p, (-1, -np.inf))
+        #: Of each length, the beginnings of pieces by hash: (hashes, ids or -1, scores, whether a longer piece goes on).
         self.by_size = {}
         for size in range(1, self.longest + 1):
-            own = sorted((self._hash(p), i, s) for p, (i, s) in self.pieces.items() if len(p) == size)
-            if len({h for h, _, _ in own}) != len(own):
-                raise ValueError("two pieces have one hash")
-            self.by_size[size] = [np.array(c, t) for c, t in zip(zip(*own, strict=True), (np.uint64, np.int64, float), strict=True)] if own else None
+            own = sorted((self._hash(p), i, s, p in longer) for p, (i, s) in begun.items() if len(p) == size)
+            if len({h for h, *_ in own}) != len(own):
+                raise ValueError("two beginnings of pieces have one hash")
+            self.by_size[size] = [np.array(c, t) for c, t in zip(zip(*own, strict=True), (np.uint64, np.int32, float, bool), strict=True)]
         widths: dict[str, set[int]] = {}
         for p in self.pieces:
             if len(p) > 1:
@@ -74,7 +129,7 @@ class Codec:
         self.widths = {k: tuple(sorted(v)) for k, v in widths.items()}
         # spaces, then others; a literal U+2581 stands alone and is spelled in bytes
         self.unit = re.compile(f"{SPACE}|\n| *[^ \n{SPACE}]+| +")
-        self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.known = Known()
         self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
         self.held = 0
 
@@ -144,79 +199,84 @@ class Codec:
                 for u in own:
                     found = self.lists[u, n] = self.unit_nbest(u, n)
                     two = found if n > 1 else self.unit_nbest(u, 2)
-                    self.known[u] = (two[0][1], two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf)
+                    self._add(u, two[0][1], two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf)
             else:
                 for k in range(0, len(own), 20_000):
                     self._solve(own[k : k + 20_000], size)
 
+    def _add(self, unit: str, ids: bytes, score: float, loss: float) -> None:
+        self.known.add([unit], np.frombuffer(ids, "<i4"), [len(ids) // 4], [score], [loss])
+
     def _solve(self, own: list[str], size: int) -> None:
-        """Forward scores of n units of one length, then the first two results of their searches in lockstep.
+        """Forward scores of n units of one length, of the best and of the second best, then the searches in lockstep.
 
         A row of an array is one place of all units. Each search goes down along its best entry, whose priority stays
-        the best sum; of the other edges on the way the best priority is the second result's sum.
+        the best sum; the second result's sum is the second best forward score.
         """
         n = len(own)
         points = np.frombuffer("".join(own).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64) + np.uint64(1)
         widest = min(size, self.longest)
         score = np.full((widest + 1, size, n), -np.inf)
         ids = np.full((widest + 1, size, n), -1, np.int32)
-        used = np.zeros(widest + 1, bool)
-        rolling = np.zeros((size, n), np.uint64)
+        used = np.zeros((widest + 1, size), bool)  # whether pieces of a length begin at a place
+        # a place stays open while what begins there begins a piece too
+        flat, at = points.ravel(), np.arange(size * n)
+        rolling = np.zeros(size * n, np.uint64)
         with np.errstate(over="ignore"):
             for w in range(1, widest + 1):
-                rolling = rolling[: size - w + 1] * _FACTOR + points[w - 1 :]
-                if (of := self.by_size[w]) is None:
-                    continue
-                at = np.minimum(np.searchsorted(of[0], rolling.ravel()), len(of[0]) - 1).reshape(rolling.shape)
-                hit = of[0][at] == rolling
-                used[w] = hit.any()
-                score[w, : size - w + 1] = np.where(hit, of[2][at], -np.inf)
-                ids[w, : size - w + 1] = np.where(hit, of[1][at], -1)
-        used[1] = True
+                rolling = rolling * _FACTOR + flat[at + (w - 1) * n]
+                hashes, piece, value, goes_on = self.by_size[w]
+                row = np.minimum(np.searchsorted(hashes, rolling), len(hashes) - 1)
+                hit = hashes[row] == rolling
+                row, at, rolling = row[hit], at[hit], rolling[hit]
+                whole = piece[row] >= 0
+                if whole.any():
+                    found, row_of = at[whole], row[whole]
+                    used[w, found // n] = True
+                    score[w].ravel()[found], ids[w].ravel()[found] = value[row_of], piece[row_of]
+                stays = goes_on[row] & (at < (size - w) * n)
+                at, rolling = at[stays], rolling[stays]
+                if not len(at):
+                    break
         score[1] = np.where(ids[1] < 0, self.fallback, score[1])
-        widths = np.flatnonzero(used).tolist()
-        ahead, last = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int8)
+        ahead, second, last = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf), np.ones((size + 1, n), np.int8)
         ahead[0] = 0
         for j in range(1, size + 1):
-            for w in widths:
-                if w <= j:
+            best, beside = ahead[j], second[j]
+            np.add(ahead[j - 1], score[1, j - 1], out=best)
+            np.add(second[j - 1], score[1, j - 1], out=beside)
+            for w in range(2, min(j, widest) + 1):
+                if used[w, j - w]:
                     s = ahead[j - w] + score[w, j - w]
-                    better = (s >= ahead[j]) & (s > -np.inf)  # on a tie the longer last piece
-                    np.copyto(ahead[j], s, where=better)
-                    np.copyto(last[j], w, where=better)
+                    np.maximum(beside, second[j - w] + score[w, j - w], out=beside)
+                    np.maximum(beside, np.minimum(best, s), out=beside)
+                    np.copyto(last[j], w, where=s >= best)  # on a tie the longer last piece
+                    np.maximum(best, s, out=best)
         at, rows = np.full(n, size), np.arange(n)
-        done, second = np.zeros(n), np.full(n, -np.inf)
-        path, width = np.full((n, size), -1, np.int32), np.zeros((n, size), np.int8)
+        path, taken = np.full((n, size), -1, np.int32), np.zeros((n, size), bool)
         while len(rows):
-            here, so_far, beside = at[rows], done[rows], second[rows]
-            down = last[here, rows].astype(np.int64)
-            for w in widths:
-                start = here - w
-                priority = ahead[start, rows] + score[w, start, rows] + so_far  # below 0 a start is another row's, left out
-                np.maximum(beside, priority, out=beside, where=(start >= 0) & (down != w))
+            here = at[rows]
+            down = last[here, rows]
             start = here - down
-            path[rows, start], width[rows, start] = ids[down, start, rows], down
-            second[rows], done[rows], at[rows] = beside, so_far + score[down, start, rows], start
+            path[rows, start], taken[rows, start], at[rows] = ids[down, start, rows], True, start
             rows = rows[start > 0]
-        taken = width > 0
-        packed, ends = path[taken].astype("<i4").tobytes(), np.cumsum(taken.sum(axis=1)).tolist()
-        best, loss, start = ahead[size].tolist(), (ahead[size] - second).tolist(), 0
-        for k, u in enumerate(own):
-            self.known[u] = (packed[4 * start : 4 * ends[k]], best[k], loss[k])
-            start = ends[k]
-        for k in np.flatnonzero((taken & (path < 0)).any(axis=1)).tolist():
+        best, loss = ahead[size], ahead[size] - second[size]
+        spelled = (taken & (path < 0)).any(axis=1)
+        whole = np.flatnonzero(~spelled)
+        self.known.add([own[k] for k in whole.tolist()], path[whole][taken[whole]], taken[whole].sum(axis=1), best[whole], loss[whole])
+        for k in np.flatnonzero(spelled).tolist():
             found: list[int] = []
             for i in np.flatnonzero(taken[k]).tolist():
                 found += [int(path[k, i])] if path[k, i] >= 0 else self._spell(own[k][i])
-            self.known[own[k]] = (np.asarray(found, "<i4").tobytes(), best[k], loss[k])
+            self._add(own[k], np.asarray(found, "<i4").tobytes(), best[k], loss[k])
 
     def units(self, text: str) -> list[str]:
         return self.unit.findall(" " + text) if text else []
 
     def learn(self, texts: list[list[str]], n: int = NBEST) -> None:
         """Solve the units of texts that aren't known; what is known is dropped first where it would be too much."""
-        every = {u for units in texts for u in units}
-        new = [u for u in every if u not in self.known]
+        every = set().union(*texts)
+        new = list(every.difference(self.known.number))
         size = sum(map(len, new))
         if self.held and self.held + size > REMEMBERED:
             self.forget()
@@ -246,10 +306,11 @@ class Codec:
         if not units:
             return [(0.0, b"")]
         known = self.known
-        best_ids, scores, losses = zip(*[known[u] for u in units], strict=True)
-        total = sum(scores)
-        out = [(total, b"".join(best_ids))]
-        losses = np.array(losses)
+        numbers = np.fromiter(map(known.number.__getitem__, units), np.int64, len(units))
+        best_ids, ends = known.joined(numbers)
+        total = sum(known.score[numbers].tolist())
+        out = [(total, best_ids)]
+        losses = known.loss[numbers]
         near = np.argsort(losses, kind="stable")[: n - 1] if len(losses) < 4 * n else np.flatnonzero(losses <= np.partition(losses, n - 1)[n - 1])
         open_units = sorted(near.tolist(), key=lambda k: (losses[k], k))[: n - 1]
         choices = []
@@ -263,10 +324,12 @@ class Codec:
         queue.sort()
         while queue and len(out) < n:
             loss, _, first, pick = queue.pop(0)
-            ids = list(best_ids)
-            for (k, c), p in zip(choices, pick, strict=True):
-                ids[k] = c[p][1]
-            out.append((total - loss, b"".join(ids)))
+            ids, done = [], 0
+            for k, p, c in sorted((k, p, c) for (k, c), p in zip(choices, pick, strict=True) if p):
+                end = 4 * int(ends[k])
+                ids += [best_ids[done : end - 4 * int(known.size[numbers[k]])], c[p][1]]
+                done = end
+            out.append((total - loss, b"".join([*ids, best_ids[done:]])))
             for i in range(first, len(choices)):
                 c = choices[i][1]
                 if pick[i] + 1 < len(c):
@@ -277,8 +340,9 @@ class Codec:
 
     def decode(self, ids: bytes) -> str:
         """The text; the space that encoding puts first is taken off."""
-        spelled = self.spelled
-        return b"".join([spelled[i] for i in np.frombuffer(ids, "<i4").tolist()]).decode("utf-8", "surrogatepass")[1:]
+        n = len(ids) // 4
+        _, ends, spelled = self.spelled.take(pa.Array.from_buffers(pa.int32(), n, [None, pa.py_buffer(ids)])).buffers()
+        return str(memoryview(spelled)[: np.frombuffer(ends, np.int32)[n]], "utf-8", "surrogatepass")[1:] if n else ""
 
 
 _CODECS: dict[int, Codec] = {}
