@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import partial
 
@@ -172,8 +173,20 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch
 
 
+def give_back() -> None:
+    """Give memory that is free in this process back to the system: workers outlive tasks, and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def _in_pieces(function, batches):
-    return function(piece for batch in batches for piece in pieces(batch))
+    try:
+        yield from function(piece for batch in batches for piece in pieces(batch))
+    finally:
+        give_back()
 
 
 def map_texts(df: DataFrame, function, schema: StructType | str) -> DataFrame:

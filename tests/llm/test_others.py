@@ -280,6 +280,29 @@ def test_second_best_and_cut_pieces(codec):
         assert all(codec.decode(i) == text for _, i in codec.encode(text, 5))
 
 
+def test_workers_give_memory_back():
+    """What a task has freed goes back to the system at its end, though the worker stays."""
+    from sealwright.llm import common
+
+    def work(batches):
+        for batch in batches:
+            held = [bytes(700) for _ in range(200_000)]
+            last = bytes(700)  # above the others, so the heap can't just shrink
+            del held
+            yield batch.append_column("size", pa.array([_anon() + 0 * len(last)], pa.int64()))
+
+    def _anon():
+        return 1024 * int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1])
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], ["id"])
+    kept = []
+    during = 0
+    for out in common._in_pieces(work, iter([batch])):
+        kept.append(bytes(700))
+        during = out.column(1)[0].as_py()
+    assert _anon() < during - 100_000_000
+
+
 def test_encode_and_decode(spark, no_docs):
     rows = [(i, t) for i, t in enumerate([*TEXTS, None])] + [(None, "null id"), (1, "again")]
     coded = sentencepiece_nbest.encode(spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(3)))
