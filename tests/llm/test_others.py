@@ -287,18 +287,16 @@ def test_workers_give_memory_back():
     def work(batches):
         for batch in batches:
             held = [bytes(700) for _ in range(200_000)]
-            last = bytes(700)  # above the others, so the heap can't just shrink
+            pinned.append(bytes(700))  # above the others, so the heap cannot just shrink
             del held
-            yield batch.append_column("size", pa.array([_anon() + 0 * len(last)], pa.int64()))
+            yield batch.append_column("size", pa.array([_anon()], pa.int64()))
 
     def _anon():
         return 1024 * int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1])
 
     batch = pa.RecordBatch.from_arrays([pa.array([1])], ["id"])
-    kept = []
-    during = 0
+    during, pinned = 0, []
     for out in common._in_pieces(work, iter([batch])):
-        kept.append(bytes(700))
         during = out.column(1)[0].as_py()
     assert _anon() < during - 100_000_000
 
